@@ -1,4 +1,4 @@
-"""The queries of this package: one for each operator, and the pipeline."""
+"""The queries of this package: one for each operator."""
 
 from __future__ import annotations
 
@@ -11,14 +11,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import assign_shards
+
+    return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .idfiles import id_files_path, read_id_files, write_id_files
+
+    path = id_files_path(spark)
+    dictionary = write_id_files(_table(spark, sf_dir, "documents"), path)
+    return read_id_files(spark, path, dictionary)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_sequences
+
+    return pack_sequences(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_token_counts": op9_token_counts,
+    f.__name__: f for f in (op3_shards, op5_id_files, op6_packing, op8_quality, op9_token_counts, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
