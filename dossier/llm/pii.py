@@ -62,7 +62,7 @@ def _valid(kind: str, match: Column) -> Column:
         return match.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
         # The checksum is only asked of digits that are few enough.
-        return F.when((count >= 13) & (count <= 19), F.luhn_check(_digits(match))).otherwise(F.lit(False))
+        return F.when((count >= 13) & (count <= 19), F.call_function("luhn_check", _digits(match))).otherwise(F.lit(False))
     if kind == "phone":
         return (count >= 9) & (count <= 15)
     if kind == "iban":

@@ -11,12 +11,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mainpart import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import assign_shards
 
     return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .idfiles import id_files_path, read_id_files, write_id_files
 
@@ -31,6 +49,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, find_pii
+
+    return digest(find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -50,7 +74,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_shards, op5_id_files, op6_packing, op8_quality, op9_token_counts, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard,
+        op2_main_text,
+        op3_shards,
+        op4_near_vectors,
+        op5_id_files,
+        op6_packing,
+        op7_pii,
+        op8_quality,
+        op9_token_counts,
+        op10_mixing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
