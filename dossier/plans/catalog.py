@@ -4,7 +4,157 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import score_band, score_label
+from ..operators import changes, records, relational
+from . import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def register(function):
+        QUERIES[function.__name__] = function
+        ORACLE_SQL[function.__name__] = f"WITH {tables.CTES} {sql}"
+        return function
+
+    return register
+
+
+def _joined(items: Column, field: str) -> Column:
+    return F.coalesce(F.array_join(F.transform(items, lambda x: x[field]), ","), F.lit(""))
+
+
+@_query(
+    """SELECT c.id, c.name, c.nationality, m.job_id, m.overall_score, coalesce(e.schools, '') AS schools FROM candidates c
+    LEFT JOIN matches m ON m.candidate_id = c.id
+    LEFT JOIN (SELECT candidate_id, string_agg(school, ',' ORDER BY seq, id, school, degree_level, department) AS schools FROM education GROUP BY 1) e ON e.candidate_id = c.id"""
+)
+def summary_left_join(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with match results and their ordered schools."""
+    found = relational.candidate_summary(tables.candidates(spark, d), tables.matches(spark, d), tables.education(spark, d))
+    return found.select("id", "name", "nationality", "job_id", "overall_score", _joined(F.col("education"), "school").alias("schools"))
+
+
+@_query(
+    """SELECT c.id, c.name, coalesce(w.x, '') AS companies, coalesce(e.x, '') AS departments FROM candidates c
+    LEFT JOIN (SELECT candidate_id, string_agg(company_name, ',' ORDER BY seq, id) AS x FROM work GROUP BY 1) w ON w.candidate_id = c.id
+    LEFT JOIN (SELECT candidate_id, string_agg(department, ',' ORDER BY seq, id, department) AS x FROM education GROUP BY 1) e ON e.candidate_id = c.id"""
+)
+def detail_in_bulk(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates with their child lists."""
+    children = {"work": (tables.work(spark, d), ["company_name"]), "education": (tables.education(spark, d), ["department"])}
+    found = relational.candidate_detail(tables.candidates(spark, d), children)
+    return found.select("id", "name", _joined(F.col("work"), "company_name").alias("companies"), _joined(F.col("education"), "department").alias("departments"))
+
+
+@_query("SELECT DISTINCT skill_name FROM skills WHERE coalesce(skill_name, '') <> ''")
+def option_skills(spark: SparkSession, d: str) -> DataFrame:
+    return relational.filter_options(tables.skills(spark, d), "skill_name")
+
+
+@_query("SELECT DISTINCT education_level FROM candidates WHERE coalesce(education_level, '') <> ''")
+def option_levels(spark: SparkSession, d: str) -> DataFrame:
+    return relational.filter_options(tables.candidates(spark, d), "education_level")
+
+
+@_query(
+    """SELECT c.id, c.name, m.job_id, m.overall_score FROM candidates c LEFT JOIN matches m ON m.candidate_id = c.id
+    WHERE contains(lower(c.name), '1') AND c.education_level = 'BUILDING' AND c.id % 15 BETWEEN 3 AND 5
+    AND m.overall_score >= 40 AND m.overall_score < 60"""
+)
+def filtered_list(spark: SparkSession, d: str) -> DataFrame:
+    """Name, level, experience and score conditions together."""
+    listed = tables.candidates(spark, d).join(tables.matches(spark, d).select(F.col("candidate_id").alias("id"), "job_id", "overall_score"), "id", "left")
+    found = relational.filter_candidates(listed, name="1", education_level="BUILDING", experience=(3, 5), score="40-59")
+    return found.select("id", "name", "job_id", "overall_score")
+
+
+@_query("SELECT candidate_id FROM skills WHERE skill_name IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY 1 HAVING count(DISTINCT skill_name) = 3")
+def all_of_skills(spark: SparkSession, d: str) -> DataFrame:
+    return relational.with_all_skills(tables.skills(spark, d), ["Brand#11", "Brand#12", "Brand#13"])
+
+
+@_query("SELECT id, name, code FROM candidates ORDER BY name, id LIMIT 50 OFFSET 50")
+def sorted_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of 50, by name; the page size is the feature."""
+    return relational.page(tables.candidates(spark, d), "name", 1).select("id", "name", "code")
+
+
+@_query(
+    """SELECT id, CASE WHEN overall_score >= 80 THEN '80+' WHEN overall_score >= 60 THEN '60-79' WHEN overall_score >= 40 THEN '40-59' ELSE '<40' END AS band,
+    CAST(CAST(floor(overall_score + 0.5) AS BIGINT) AS VARCHAR) AS label FROM matches"""
+)
+def score_bands(spark: SparkSession, d: str) -> DataFrame:
+    score = F.col("overall_score")
+    return tables.matches(spark, d).select("id", score_band(score).alias("band"), score_label(score).alias("label"))
+
+
+@_query(
+    """, old AS (SELECT candidate_id, job_id, min(id) AS id, max_by(overall_score, id) AS overall_score FROM matches WHERE year(created_at) < 1996 GROUP BY 1, 2),
+    new AS (SELECT candidate_id, job_id, max(id) AS id, max_by(overall_score, id) AS overall_score FROM matches WHERE year(created_at) >= 1996 GROUP BY 1, 2)
+    SELECT coalesce(old.candidate_id, new.candidate_id) AS candidate_id, coalesce(old.job_id, new.job_id) AS job_id,
+    coalesce(old.id, new.id) AS id, coalesce(new.overall_score, old.overall_score) AS overall_score
+    FROM old FULL JOIN new ON old.candidate_id = new.candidate_id AND old.job_id = new.job_id"""
+)
+def upserted_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Stored scores with later ones put in their place; row ids stay."""
+    found = tables.matches(spark, d).select("candidate_id", "job_id", "id", "overall_score", "created_at")
+    early = found.where(F.year("created_at") < 1996)
+    stored = early.groupBy("candidate_id", "job_id").agg(F.min("id").alias("id"), F.max_by("overall_score", "id").alias("overall_score"))
+    later = found.where(F.year("created_at") >= 1996).drop("created_at")
+    return changes.upsert(stored, later, ["candidate_id", "job_id"], "id", keep=["id"])
+
+
+@_query("SELECT id, candidate_id, company_name FROM work WHERE candidate_id NOT IN (SELECT id FROM candidates WHERE education_level = 'BUILDING')")
+def children_deleted(spark: SparkSession, d: str) -> DataFrame:
+    gone = tables.candidates(spark, d).where("education_level = 'BUILDING'").select(F.col("id").alias("candidate_id"))
+    return changes.delete_children(tables.work(spark, d), gone).select("id", "candidate_id", "company_name")
+
+
+@_query(
+    """SELECT c.id AS candidate_id, c.name, c.code, c.nationality, coalesce(w.n, 0) AS n_work, coalesce(w.companies, '') AS companies,
+    coalesce(w.dates, '') AS dates, coalesce(s.tags, '') AS tags FROM candidates c
+    LEFT JOIN (SELECT candidate_id, count(*) AS n, string_agg(company_name, ',' ORDER BY seq) AS companies, string_agg(date_start, ',' ORDER BY seq) AS dates
+      FROM work GROUP BY 1) w ON w.candidate_id = c.id
+    LEFT JOIN (SELECT candidate_id, string_agg(replace(skill_name, '#', ' '), ',' ORDER BY skill_name) AS tags FROM skills GROUP BY 1) s ON s.candidate_id = c.id"""
+)
+def parsed_records(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown rendered from the tables and read back as nested records."""
+    found = records.parse_records(rendered(spark, d), keep=["candidate_id"])
+    return found.select(
+        "candidate_id",
+        "name",
+        "code",
+        "nationality",
+        F.size("work").cast("long").alias("n_work"),
+        _joined(F.col("work"), "company_name").alias("companies"),
+        _joined(F.col("work"), "date_start").alias("dates"),
+        F.array_join("skill_tags", ",").alias("tags"),
+    )
+
+
+def rendered(spark: SparkSession, d: str) -> DataFrame:
+    """candidate_id and markdown of every candidate."""
+    bar = F.lit(" | ")
+    line = F.concat(F.lit("| "), "company_name", F.lit(" , "), "date_start", F.lit(" ~ 2000/01/01 |\n| 職務類別： | "), "job_category", F.lit(" |\n"))
+    entries = tables.work(spark, d).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("w"))
+    tag = F.concat(F.lit("#"), F.replace("skill_name", F.lit("#"), F.lit(" ")))
+    tags = tables.skills(spark, d).groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_list(tag)), " ").alias("t"))
+    people = tables.candidates(spark, d).withColumnRenamed("id", "candidate_id")
+    basic = F.concat(
+        F.lit(f"# {records.BASIC}\n| 姓名： | "), "name", bar, F.lit("104代碼："), bar, "code", F.lit(" |\n|---|---|\n| 國籍： | "), "nationality", F.lit(" |\n")
+    )
+    return people.join(entries, "candidate_id", "left").join(tags, "candidate_id", "left").select(
+        "candidate_id",
+        F.concat(
+            basic,
+            F.lit(f"## {records.WORK}\n"),
+            F.coalesce(F.array_join(F.transform("w", lambda x: x["line"]), ""), F.lit("")),
+            F.lit(f"## {records.SKILLS}\n"),
+            F.coalesce("t", F.lit("")),
+        ).alias("markdown"),
+    )
