@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,12 @@ from .store import written
 CHUNK = 1 << 20
 #: Seeds of the orders; each sorts n-grams by how many texts have them, then by its own hash.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Rounds in which each text is compared with one other of its buckets.
-ROUNDS = 2
+#: Rounds in which each text is compared with one other of its buckets, at most; they
+#: end when one adds less than this share of the links found so far.
+ROUNDS, GAIN = 8, 0.02
 LOW = 48
+#: Words of 64 bits in a text's signature.
+SIGNATURE = 8
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
@@ -65,6 +68,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def signature(tokens: np.ndarray) -> list[int]:
+    """For each of 512 bits, whether an odd number of tokens falls on it.
+
+    Two sets' signatures differ in at most as many bits as there are tokens in one set alone.
+    """
+    at = (mixed(tokens, 0x27D4EB2F165667C5) & np.uint64(64 * SIGNATURE - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * SIGNATURE) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8").tolist()
+
+
 def _sizes(docs: DataFrame, n: int) -> DataFrame:
     schema = "id long, n long, f1 long, f2 long"
 
@@ -184,6 +197,8 @@ SETS = T.StructType(
     [
         T.StructField("id", T.LongType()),
         T.StructField("n", T.LongType()),
+        T.StructField("shared", T.LongType()),
+        T.StructField("signature", T.ArrayType(T.LongType())),
         T.StructField("tokens", T.BinaryType()),
         *[T.StructField(f"prefix{k}", T.BinaryType() if k else T.ArrayType(T.LongType())) for k in range(len(ORDERS))],
     ]
@@ -222,10 +237,10 @@ def _prefixes(percent: int):
                 if length <= 0:
                     continue
                 mine, times = tokens[a:b], df[a:b]
-                prefixes = [np.sort(mine[np.lexsort((mixed(mine, seed), times))[:length]]) for seed in ORDERS]
-                rows.append((int(ids[k]), n, mine.tobytes(), prefixes[0].astype("<i8").tolist(), *[p.tobytes() for p in prefixes[1:]]))
-        columns = list(zip(*rows, strict=True)) or [()] * (3 + len(ORDERS))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * (len(ORDERS) - 1)]
+                prefixes = [mine[np.lexsort((mixed(mine, seed), times))[:length]] for seed in ORDERS]
+                rows.append((int(ids[k]), n, len(mine), signature(mine), mine.tobytes(), prefixes[0].astype("<i8").tolist(), *[p.tobytes() for p in prefixes[1:]]))
+        columns = list(zip(*rows, strict=True)) or [()] * (5 + len(ORDERS))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * (len(ORDERS) - 1)]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=SETS.names)
 
     return run
@@ -256,6 +271,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.mapInArrow(run, "a long, b long")
 
 
+def _rooted(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``keys`` with the root of each text's component; without roots, the text itself."""
+    if roots is None:
+        return keys.withColumn("root", F.col("id"))
+    return keys.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
 def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, chunk: int = CHUNK
 ) -> DataFrame:
@@ -271,9 +293,12 @@ def jaccard_components(
     Two similar sets share a token in their prefixes under every order: the
     first order finds candidates, the others sift them, and what is left is
     compared exactly. Since components are asked for, texts are first compared
-    with one other text each, in ROUNDS rounds, and joined; then every pair of
+    with one other text each, in rounds, and joined; then every pair of
     candidates that is still in two components is compared. A group of copies
-    so costs its size, not its square, and no pair is left out.
+    so costs its size, not its square, and no pair is left out. Of those last
+    pairs, only such are sent to be compared whose sizes, the place of a shared
+    token in both orders and signatures of 512 bits allow enough shared tokens:
+    bounds that no linked pair exceeds.
 
     Frequent tokens are summed in their chunk of texts first, so a range of
     hashes holds one entry for each chunk at most. Tokens are hashes of 48 bits
@@ -298,28 +323,49 @@ def jaccard_components(
     shared = _chunks(docs, n, bits, chunk).groupBy("part").applyInArrow(_shared, "own boolean, chunk long, tokens binary, owners binary, counts binary")
     sets = written(shared.groupBy("chunk").applyInArrow(_prefixes(percent), SETS), "sets")
 
-    keys = sets.select("id", "n", F.explode("prefix0").alias("token"))
+    # Tokens of one text come first in its order, so they count in a token's place.
+    keys = sets.select("id", "n", "shared", F.posexplode("prefix0").alias("rank", "token"))
+    keys = keys.select("id", "n", "token", (F.col("n") - F.col("shared") + F.col("rank")).alias("place"))
     several = keys.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
     keys = written(keys.join(several, "token"), "keys")
-    links = written(member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).limit(0), "links")
-    roots = links.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    for turn in range(ROUNDS + 1):
-        now = keys.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("by"), "id", "n", "root")).alias("pivot")
+
+    def near(n: Column, place: Column, m: Column, other: Column) -> Column:
+        """Whether the token can be the first that two similar sets of these sizes share."""
+        alike = F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+        return alike & (F.lit(100 + percent) * F.least(n - place, m - other) >= F.lit(percent) * (n + m))
+
+    links = roots = None
+    for turn in range(ROUNDS):
+        now = _rooted(keys, roots)
+        pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("by"), "id", "n", "place", "root")).alias("pivot")
         open_ = now.groupBy("token").agg(pivot, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        near = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-        if turn < ROUNDS:
-            met = now.join(open_, "token").where((F.col("root") != F.col("pivot.root")) & near(F.col("n"), F.col("pivot.n")))
-            pairs = met.groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("id").alias("a"), F.col("pivot.id").alias("b"))
-        else:
-            left = written(now.join(open_.select("token"), "token").select("token", "id", "n", "root"), "left")
-            right = left.toDF("token", "other", "m", "top")
-            met = left.join(right, "token").where((F.col("id") < F.col("other")) & (F.col("root") != F.col("top")) & near(F.col("n"), F.col("m")))
-            pairs = met.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+        met = now.join(open_, "token").where(
+            (F.col("root") != F.col("pivot.root")) & near(F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place"))
+        )
+        pairs = met.groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("id").alias("a"), F.col("pivot.id").alias("b"))
         found = written(_linked(pairs, sets, percent), "links")
-        links = links.union(found)
-        if turn < ROUNDS:
-            roots = connected(links).toDF("id", "root")
+        links = links.union(found) if links is not None else found
+        roots = written(connected(links).toDF("id", "root"), "reached")
+        if found.count() <= GAIN * links.count():
+            break
+
+    # What is left: all pairs in two components that share a token, exact bounds first.
+    now = _rooted(keys, roots)
+    by_root = now.groupBy("token", "root").agg(F.count("*").alias("times"))
+    open_ = by_root.groupBy("token").agg(F.max_by("root", "times").alias("major"), F.count("*").alias("roots")).where("roots > 1")
+    words = [F.get("signature", F.lit(k)).alias(f"s{k}") for k in range(SIGNATURE)]
+    left = written(now.join(open_.select("token", "major"), "token").join(sets.select("id", "shared", *words), "id"), "left")
+    # Of two texts in two components, one at least is not in the token's largest.
+    minor = left.where("root <> major")
+    right = left.select(*[F.col(c).alias(c if c == "token" else f"{c}_2") for c in left.columns])
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_2"))) for k in range(SIGNATURE)), F.lit(0))
+    enough = F.lit(100 + percent) * (F.col("shared") + F.col("shared_2") - differ) >= F.lit(2 * percent) * (F.col("n") + F.col("n_2"))
+    once = (F.col("root_2") == F.col("major_2")) | (F.col("id") < F.col("id_2"))
+    met = minor.join(right, "token").where(
+        (F.col("root") != F.col("root_2")) & once & near(F.col("n"), F.col("place"), F.col("n_2"), F.col("place_2")) & enough
+    )
+    pairs = met.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+    links = links.union(written(_linked(pairs, sets, percent), "links"))
     # Copies link with their class here, and rows of one id through that id.
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = connected(links.union(same)).toDF("id", "root")
