@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .store import written
 
+#: Edges that one task writes, at least, while there are that many.
+TASK_EDGES = 50_000
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b); root is the least node it is joined with.
@@ -21,15 +24,17 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
     levels = []
-    while not edges.isEmpty():
+    # Few edges are left to few tasks, or small rounds would cost as many tasks as large ones.
+    while count := edges.count():
+        tasks = count // TASK_EDGES + 1
         ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         near = ends.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("near"))
-        near = written(near.select("node", F.least("node", "near").alias("root")), "roots")
+        near = written(near.select("node", F.least("node", "near").alias("root")), "roots", tasks)
         levels.append(near)
         one, two = near.toDF("a", "x"), near.toDF("b", "y")
         moved = edges.join(one, "a").select("x", "b").distinct().join(two, "b").where("x <> y")
         moved = moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        edges = written(moved, "edges")
+        edges = written(moved, "edges", tasks)
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = levels[-1]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected
+from .components import TASK_EDGES, connected
 from .store import written
 
 #: n-grams that a chunk of texts, and a range of n-gram hashes, hold at about.
@@ -344,9 +344,12 @@ def jaccard_components(
         )
         pairs = met.groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("id").alias("a"), F.col("pivot.id").alias("b"))
         found = written(_linked(pairs, sets, percent), "links")
+        gained = found.count()
         links = links.union(found) if links is not None else found
-        roots = written(connected(links).toDF("id", "root"), "reached")
-        if found.count() <= GAIN * links.count():
+        total = links.count()
+        if gained:
+            roots = written(connected(links).toDF("id", "root"), "reached", total // TASK_EDGES + 1)
+        if gained <= GAIN * total:
             break
 
     # What is left: all pairs in two components that share a token, exact bounds first.

@@ -21,15 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, tasks: int | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
+    With ``tasks``, at most so many write it; more than the session's shuffle
+    partitions are never asked for.
+
     Later stages, and tasks run again after an executor is lost, read the same
     rows from there: nothing is computed twice and nothing lives on one machine.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if tasks and tasks < input_partitions(df):
+        df.coalesce(tasks).write.parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
