@@ -1,9 +1,10 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from dossier.llm.jaccard import jaccard_components, prefix_length
+from dossier.llm.jaccard import jaccard_components, prefix_length, signature
 
 
 def brute(rows):
@@ -65,3 +66,12 @@ def test_empty_null_and_clashing_columns(spark):
 def test_prefix_covers_every_overlap():
     for n in range(1, 300):
         assert n - prefix_length(n, 80) < 0.8 * n
+
+
+def test_signatures_differ_by_no_more_than_the_sets():
+    random = np.random.default_rng(3)
+    for n in (1, 20, 300, 3000):
+        a = np.unique(random.integers(0, 1 << 54, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 4 :], random.integers(0, 1 << 54, n // 5).astype(np.uint64)]))
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(signature(a), signature(b), strict=True))
+        assert bits <= len(np.setxor1d(a, b))
