@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,8 +93,8 @@ def near_vectors(
     """``id_col``, n_links, component_id and kept of every vector, by cosine >= ``threshold``.
 
     Equal vectors are compared once, as one with a count. Vectors are laid
-    along principal axes, sorted by the first and cut into tiles; two tiles
-    meet only if their ranges on that axis are near enough for unit vectors at
+    along principal axes, sorted by the first and cut into tiles of up to about
+    ``tile`` (a quarter more at most); two tiles meet only if their ranges on that axis are near enough for unit vectors at
     the threshold. A tile pair is one bounded task: it returns the links of
     each vector as a sum and a spanning forest of its links, never all pairs.
 
@@ -164,7 +164,8 @@ def _compare(distinct: DataFrame, dims: int, threshold: float, tile: int) -> Dat
     placed = distinct.select("rep", "copies", "vector", (dot / norm).alias("first"))
     parts = input_partitions(distinct)
     placed = placed.repartitionByRange(parts, "first").sortWithinPartitions("first")
-    tiles_schema = "tile long, low double, high double, reps binary, copies binary, vectors binary"
+    runs_schema = "run long, n long, low double, high double, reps binary, copies binary, vectors binary"
+    most = max(1, tile // 4)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, pending = TaskContext.get().partitionId() << 32, []
@@ -172,22 +173,32 @@ def _compare(distinct: DataFrame, dims: int, threshold: float, tile: int) -> Dat
         def closed(rows: list[tuple]) -> pa.RecordBatch:
             reps, copies, vectors, at = zip(*rows, strict=True)
             block = np.array(vectors, dtype=np.float64)
-            values = [number, at[0], at[-1], np.array(reps, "<i8").tobytes(), np.array(copies, "<i8").tobytes(), block.tobytes()]
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["tile", "low", "high", "reps", "copies", "vectors"])
+            values = [number, len(rows), min(at), max(at), np.array(reps, "<i8").tobytes(), np.array(copies, "<i8").tobytes(), block.tobytes()]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["run", "n", "low", "high", "reps", "copies", "vectors"])
 
         for batch in batches:
             flat = batch.column(2)
             block = np.array(flat.flatten(), dtype=np.float64).reshape(-1, dims)
             pending += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), block, batch.column(3).to_pylist(), strict=True)
-            while len(pending) >= tile:
-                yield closed(pending[:tile])
-                number, pending = number + 1, pending[tile:]
+            while len(pending) >= most:
+                yield closed(pending[:most])
+                number, pending = number + 1, pending[most:]
         if pending:
             yield closed(pending)
 
-    # Few large tiles: a tile costs its bytes once for each tile it meets.
-    tiles = written(placed.coalesce(max(1, min(parts, distinct.count() // tile + 1))).mapInArrow(cut, tiles_schema), "tiles")
+    # Few large tiles: a tile costs its bytes once for each tile it meets. So runs
+    # of the sorted vectors, however many partitions cut them, are joined in order
+    # to tiles of about ``tile``; each has the true range of what it holds.
+    runs = written(placed.mapInArrow(cut, runs_schema), "runs")
+    before = F.sum("n").over(Window.orderBy("low", "run").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    numbered = runs.select("run", "n", "low").select("run", F.floor(before / F.lit(tile)).alias("tile"))
+    # Binaries of equal order: each list is sorted by the run.
+    joined = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("run", c))), lambda x: x[c]).alias(c)
+    tiles = runs.join(numbered, "run").groupBy("tile").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), joined("reps"), joined("copies"), joined("vectors")
+    )
+    tiles = written(tiles, "tiles")
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     cells = lambda low, high: F.explode(F.sequence(F.floor(low / reach), F.floor(high / reach))).alias("cell")
     spans = tiles.select("tile", "low", "high")
@@ -200,8 +211,8 @@ def _compare(distinct: DataFrame, dims: int, threshold: float, tile: int) -> Dat
     met = pairs.join(one, "i").join(two, "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rotated(raw: bytes) -> np.ndarray:
-            block = np.frombuffer(raw, np.float64).reshape(-1, dims)
+        def rotated(raw: list[bytes]) -> np.ndarray:
+            block = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dims)
             block = block / np.abs(block).max(1, keepdims=True)  # no overflow in the squares
             return (block / np.linalg.norm(block, axis=1, keepdims=True)) @ axes
 
@@ -209,9 +220,10 @@ def _compare(distinct: DataFrame, dims: int, threshold: float, tile: int) -> Dat
             names = batch.schema.names
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(names.index(c))[row].as_py()  # noqa: E731, B023
+                numbers = lambda c: np.frombuffer(b"".join(get(c)), "<i8")  # noqa: E731, B023
                 same = get("i") == get("j")
-                reps_a, reps_b = np.frombuffer(get("reps_i"), "<i8"), np.frombuffer(get("reps_j"), "<i8")
-                count_a, count_b = np.frombuffer(get("copies_i"), "<i8"), np.frombuffer(get("copies_j"), "<i8")
+                reps_a, reps_b = numbers("reps_i"), numbers("reps_j")
+                count_a, count_b = numbers("copies_i"), numbers("copies_j")
                 a = rotated(get("vectors_i"))
                 i, j = similar_pairs(a, a if same else rotated(get("vectors_j")), threshold, leading)
                 if same:

@@ -73,6 +73,21 @@ def test_vectors_equal_brute_force(spark):
     assert [got[i]["component_id"] for i in ids] == least.tolist()
 
 
+def test_vectors_equal_brute_force_over_many_tiles(spark, monkeypatch):
+    from dossier.llm.embeddings import near_vectors
+
+    x = np.random.default_rng(8).normal(size=(1500, 3)).astype("f4")
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    links = (x @ x.T >= 0.9995).sum(1) - 1
+    # Spark promises no order of partitions that are read together: the worst order must do.
+    frame = type(df)
+    plain = frame.sortWithinPartitions
+    monkeypatch.setattr(frame, "sortWithinPartitions", lambda self, c: plain(self, c, ascending=False))
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, threshold=0.9995, tile=120).collect()}
+    assert [got[k] for k in range(len(x))] == links.tolist()
+
+
 def test_shards(spark, docs):
     got = QUERIES["op3_shards"](spark, DATA).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(docs)
