@@ -16,12 +16,15 @@ from pyspark.sql import types as T
 
 from .batches import slices
 from .encoders import Encoder, vocabulary
+from .mixing import mix_sources
 from .store import input_partitions, written
 
 #: Items that one task packs at once, at most about.
 LOCAL_ITEMS = 100_000
 #: Underfull bins that a task hands to the next round at most, and tasks merged into one there.
 HANDED_ON, MERGED = 64, 16
+#: Slots of a mixture that are packed together.
+RANGE_SLOTS = 64
 
 PIECES = T.StructType(
     [
@@ -31,6 +34,7 @@ PIECES = T.StructType(
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
         T.StructField("ids_crc32", T.LongType()),
+        T.StructField("pieces", T.IntegerType()),
     ]
 )
 
@@ -60,8 +64,13 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def cut_pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, capacity: int) -> DataFrame:
-    """A row for each piece of each text's ids, the short piece first."""
+def cut_pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, capacity: int, keep: list[str] | None = None) -> DataFrame:
+    """A row for each piece of each text's ids, the short piece first, with the columns in ``keep``.
+
+    The pieces of a row have consecutive uids.
+    """
+    keep = keep or []
+    schema = T.StructType(PIECES.fields + [df.schema[c] for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
@@ -70,23 +79,25 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int
         for batch in batches:
             ids_col, texts = batch.column("doc_id").to_pylist(), batch.column("__text").to_pylist()
             for lo, hi in slices(texts):
-                rows = []
-                for doc, ids in zip(ids_col[lo:hi], encode(texts[lo:hi]), strict=True):
+                rows, origin = [], []
+                for row, (doc, ids) in enumerate(zip(ids_col[lo:hi], encode(texts[lo:hi]), strict=True), lo):
                     raw = np.frombuffer(ids, "<u2").astype("<u4").tobytes() + end
                     n = len(raw) // 4
                     first = n % capacity or capacity
                     edges = [0, *range(first, n + 1, capacity)]
                     for k in range(len(edges) - 1):
                         a, b = edges[k], edges[k + 1]
-                        rows.append((doc, serial, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])))
+                        rows.append((doc, serial, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), len(edges) - 1))
                         serial += 1
+                    origin += [row] * (len(edges) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    names=PIECES.names,
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+                    + [batch.column(c).take(pa.array(origin, pa.int64())) for c in keep],
+                    names=schema.names,
                 )
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, PIECES)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"), *keep)
+    return rows.mapInArrow(run, schema)
 
 
 def pack_items(items: DataFrame, capacity: int, nearly: int = 8) -> DataFrame:
@@ -179,3 +190,61 @@ def pack_sequences(
         F.coalesce("bin", "uid").alias("sequence_id"),
         F.coalesce("offset", F.lit(0).cast("long")).alias("offset"),
     )
+
+
+def pack_mixture(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    tokenizer_path: str | None = None,
+    end_id: int = 2,
+    capacity: int = 1024,
+    range_slots: int = RANGE_SLOTS,
+) -> DataFrame:
+    """``pack_sequences`` in the order of ``mix_sources``, with the same columns.
+
+    The mixture's slots are cut into ranges of ``range_slots``. Pieces of a
+    range's rows are packed best-fit with each other only, and sequence ids
+    rise from range to range, so all sequences up to a range's end hold exactly
+    the rows of the mixture up to there, at the target weights. In a range
+    sequences follow their first row. A range has a bounded number of rows, so
+    it is one bounded task; what it leaves underfull is about one sequence.
+    """
+    path = tokenizer_path or vocabulary("byte_bpe_50k.json")
+    pieces = written(cut_pieces(df, id_col, text_col, path, end_id, capacity, [source_col]), "pieces")
+    first = pieces.where("piece = 0").select("doc_id", source_col, "uid", "length", "pieces")
+    mixed = mix_sources(first, id_col="doc_id", source_col=source_col, keep=["uid", "length", "pieces"])
+    result = "first_uid long, sequence long, offset long, after long"
+
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["slot", "place"])
+        uids, sizes, counts = group["uid"].tolist(), group["length"].tolist(), group["pieces"].tolist()
+        # A bin is one sequence; the full pieces of a long text are one each.
+        bins = best_fit(sizes, capacity)
+        units = [(min(b), 0, 1, b) for b in bins] + [(i, 1, n - 1, [i]) for i, n in enumerate(counts) if n > 1]
+        sequence, offset, after = [0] * len(uids), [0] * len(uids), [0] * len(uids)
+        number = int(key[0]) << 32
+        for _, full, n, members in sorted(units):
+            at = 0
+            for i in members:
+                if full:
+                    after[i] = number
+                else:
+                    sequence[i], offset[i] = number, at
+                    at += sizes[i]
+            number += n
+        return pd.DataFrame({"first_uid": uids, "sequence": sequence, "offset": offset, "after": after})
+
+    ranges = mixed.select("uid", "length", "pieces", "slot", "place", F.floor(F.col("slot") / F.lit(range_slots)).alias("range"))
+    placed = ranges.groupBy("range").applyInPandas(pack, result)
+    own = F.col("piece") == 0
+    return pieces.withColumn("first_uid", F.col("uid") - F.col("piece")).join(placed, "first_uid").select(
+        F.col("doc_id").alias(id_col),
+        "piece",
+        "start",
+        "length",
+        "ids_crc32",
+        F.when(own, F.col("sequence")).otherwise(F.col("after") + F.col("piece") - 1).alias("sequence_id"),
+        F.when(own, F.col("offset")).otherwise(F.lit(0)).cast("long").alias("offset"),
+    )

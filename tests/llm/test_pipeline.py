@@ -10,3 +10,44 @@ def test_stages_take_effect(spark):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert {r["doc_id"] for r in last.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_sequences_keep_the_mixture(spark):
+    from collections import Counter, defaultdict
+
+    from dossier.llm.mixing import mix_sources
+    from dossier.llm.packing import pack_mixture
+
+    rows = [(k, f"word{k} " * (1 + k % 37) + "long text " * (1500 * (k % 400 == 3)), "abc"[min(2, k % 7)]) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = {r["doc_id"]: r for r in mix_sources(df).collect()}
+    packed = corpus_pipeline.pack(spark, df, "").collect()
+    assert {r["doc_id"] for r in packed} == set(mixed)
+    small = pack_mixture(df, range_slots=4).collect()
+    for got, size in ((packed, 64), (small, 4)):
+        held = defaultdict(list)
+        for r in got:
+            held[r["sequence_id"]].append(r)
+        order = []
+        for sequence in sorted(held):
+            at = 0
+            for r in sorted(held[sequence], key=lambda r: r["offset"]):
+                assert r["offset"] == at
+                at += r["length"]
+            assert at <= 1024
+            order.append({mixed[r["doc_id"]]["slot"] // size for r in held[sequence]})
+        assert all(len(ranges) == 1 for ranges in order)
+        assert [min(x) for x in order] == sorted(min(x) for x in order)
+    # Prefixes of sequences: every source within a block of its weight, until one runs out.
+    weights = {r["source"]: r["weight"] for r in mixed.values()}
+    blocks = {r["slot"]: r["source"] for r in mixed.values()}
+    left, total = Counter(blocks.values()), sum(weights.values())
+    seen, ends = set(), 0
+    for slot in sorted({x["slot"] // 4 for x in mixed.values()}):
+        seen |= {(mixed[r["doc_id"]]["source"], mixed[r["doc_id"]]["block"]) for r in small if mixed[r["doc_id"]]["slot"] // 4 == slot and r["sequence_id"] >> 32 == slot}
+        done = Counter(s for s, _ in seen)
+        if any(done[s] >= left[s] for s in left):
+            break
+        ends += 1
+        assert all(abs(done[s] - 4 * (slot + 1) * w / total) < 1 for s, w in weights.items())
+    assert ends > 2
