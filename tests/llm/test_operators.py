@@ -143,6 +143,36 @@ def test_quality_counts(spark, docs):
         assert r["base_failed"] == (len(words) < 50 or 100 * len(again) > 50 * len(words))
 
 
+PROSE = {
+    "en": "The river had risen during the night, and by morning the lower fields lay under a sheet of brown water. My grandfather stood at the gate with his hands in his pockets and said nothing for a long while. He had seen worse, he told us later, but never so early in the spring. We carried the chickens up to the barn and moved what was left of the potatoes to the loft, where they would stay dry until the water went down again. By the following week the road was open and the postman came with the letters that had been waiting in town.",
+    "de": "Der Fluss war in der Nacht gestiegen, und am Morgen lagen die unteren Felder unter braunem Wasser. Mein Großvater stand am Tor, die Hände in den Taschen, und sagte lange nichts. Er habe schon Schlimmeres gesehen, erzählte er uns später, aber noch nie so früh im Jahr. Wir trugen die Hühner in die Scheune und brachten die restlichen Kartoffeln auf den Dachboden, wo sie trocken blieben, bis das Wasser wieder sank. In der folgenden Woche war die Straße frei, und der Briefträger kam mit den Briefen, die in der Stadt gewartet hatten.",
+    "fr": "La rivière avait monté pendant la nuit, et au matin les champs du bas étaient couverts d'une eau brune. Mon grand-père se tenait près du portail, les mains dans les poches, et ne dit rien pendant longtemps. Il avait vu pire, nous raconta-t-il plus tard, mais jamais si tôt au printemps. Nous avons porté les poules dans la grange et monté le reste des pommes de terre au grenier, où elles resteraient au sec jusqu'à ce que l'eau redescende. La semaine suivante, la route était ouverte et le facteur apporta les lettres qui attendaient en ville.",
+    "es": "El río había crecido durante la noche, y por la mañana los campos bajos estaban cubiertos de agua marrón. Mi abuelo se quedó junto a la puerta con las manos en los bolsillos y no dijo nada durante mucho tiempo. Había visto cosas peores, nos contó después, pero nunca tan temprano en la primavera. Llevamos las gallinas al granero y subimos las patatas que quedaban al desván, donde estarían secas hasta que bajara el agua. La semana siguiente el camino estaba abierto y el cartero llegó con las cartas que esperaban en el pueblo.",
+}
+
+
+def test_quality_keeps_real_sentences_short_and_long(spark):
+    from dossier.llm.quality import quality
+
+    noise = "xq zk " + " ".join(f"q{'zxkj'[k % 4]}{k}#" for k in range(25))
+    rows = [(k, lang, text) for k, (lang, text) in enumerate(PROSE.items())]
+    rows += [(10 + k, lang, " ".join(text.split()[:55])) for k, (lang, text) in enumerate(PROSE.items())]
+    rows += [(20 + k, None, text) for k, text in enumerate(PROSE.values())]
+    rows += [(30, "en", "a b " * 3 + " ".join("\u0e01" * (1 + k % 9) for k in range(60))), (31, "en", noise)]
+    got = {r["doc_id"]: r for r in quality(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert [i for i in got if i < 30 and not got[i]["kept"]] == []
+    assert not got[31]["kept"] and not got[30]["kept"]
+
+
+def test_quality_bands_widen_with_the_corpus(spark):
+    from dossier.llm.quality import FENCE, fences
+
+    rows = [("en", 200, 2.0 + k / 100, 0.01, 6.0, False) for k in range(101)] + [("de", 200, 2.0, 0.0, 6.0, False)] * 5
+    df = spark.createDataFrame(rows, "lang string, n_tokens long, chars_per_token double, byte_share double, token_entropy double, base_failed boolean")
+    found = fences(df, df["lang"])
+    assert set(found) == {"en"} and found["en"] == pytest.approx((2.25 - FENCE / 2, 2.75 + FENCE / 2, 0.01, 6.0), abs=0.1)
+
+
 def test_mixing_keeps_within_a_block(spark, docs):
     got = QUERIES["op10_mixing"](spark, DATA).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(docs)
