@@ -51,6 +51,20 @@ def test_pii_spans_equal_plain_patterns(spark, docs):
         assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
 
 
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+def test_iban_ends_with_its_country(spark, iban):
+    from dossier.llm.pii import find_pii, redact_pii
+
+    texts = [f"{a}{iban}{b}" for a in ("", "IBAN ", "AB12 ") for b in ("", ".", " Please pay", " Konto", " BIC COBADEFF", " 12 EUR", f" {iban}")]
+    texts += [iban[:-1] + "X Konto", iban + "Konto"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "iban"] for r in find_pii(df).collect()}
+    for k, text in enumerate(texts[:-2]):
+        assert got[k] == [m.span() for m in re.finditer(re.escape(iban), text)], text
+    assert got[len(texts) - 2] == got[len(texts) - 1] == []
+    assert [r["text"] for r in redact_pii(df.where("doc_id = 2").select("text")).collect()] == ["[IBAN] Please pay"]
+
+
 def test_redaction_keeps_the_rest(spark):
     from dossier.llm.pii import redact_pii
 
