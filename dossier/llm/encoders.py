@@ -2,7 +2,7 @@
 
 A text is cut where no token can cross: before each run of white space. Each
 distinct piece then goes to the library once, and the ids of a text are the
-joined ids of its pieces. `tests/llm/test_encoders.py` holds this against the
+joined ids of its pieces. `tests/llm/test_operators.py` holds this against the
 libraries on whole texts.
 """
 

@@ -51,3 +51,10 @@ def test_sequences_keep_the_mixture(spark):
         ends += 1
         assert all(abs(done[s] - 4 * (slot + 1) * w / total) < 1 for s, w in weights.items())
     assert ends > 2
+
+
+def test_one_row_of_each_group_stays(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d e f"), (2, "a b c"), (3, near), (3, near + " end"), (4, near), (5, "d e f"), (6, "x y z"), (None, "x y z")]
+    out = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(((r["doc_id"] or 0), r["text"][:5]) for r in out) == [(0, "x y z"), (1, "a b c"), (1, "d e f"), (3, near[:5]), (6, "x y z")]
