@@ -17,7 +17,7 @@ WINDOW = 3
 #: Comments, elements whose content is not text, and tags; the rest is text.
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(script|style|noscript|template|iframe|svg|head|title|textarea|select|button|object|math)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)
+    |<(script|style|noscript|template|iframe|svg|title|textarea|select|button|object|math)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)
     |<[/!?]?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>
     |<[/!?]?[a-zA-Z][^>]*+(?:>|\Z)""",
     re.S | re.I | re.X,
@@ -32,47 +32,60 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements around the article, and words in class, id or role that mark such parts.
 ASIDE = frozenset("nav footer aside form menu dialog".split())
-ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|footer|gdpr"
+_WORDS = (
+    r"(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|footer|gdpr"
     r"|login|masthead|menu|nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo|promoted|related|replies|search|share|sharing|sidebar"
-    r"|signup|skip|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+    r"|signup|skip|social|sponsor(?:ed)?|subscribe|toolbar|widget)"
 )
+ASIDE_WORDS = re.compile(rf"(?<!\S){_WORDS}(?!\S)", re.I)
+#: A part of a name is weaker evidence: names of pages that have or lack such a part don't count.
+ASIDE_PARTS = re.compile(rf"(?<!\S)(?!(?:no|not|with|without|has|have|hide|show|is)[_-])(?:\S*[_-])?{_WORDS}(?:[_-]\S*)?(?!\S)", re.I)
 MAIN = frozenset(("article", "main"))
 #: A header of the page is left out, one inside the article isn't.
 HEADER = "header"
 
 
-def page_lines(page: str) -> list[tuple[str, bool, bool]]:
-    """Lines of text in page order: the text, whether it is beside the article, whether in it.
+def page_lines(page: str, parts_count: bool = True, reopened: bool = False) -> list[tuple[str, bool, bool, float]]:
+    """Lines of text in page order: the text, whether it is beside the article, whether in it, the share in links.
+
+    With ``parts_count`` a part of a class name marks what is beside the
+    article. With ``reopened`` an article inside an element so marked is none
+    the less an article; inside elements that are never around one it isn't.
 
     Markup is stripped; every element that is not inline ends a line. White
     space inside a line becomes one space.
     """
-    lines: list[tuple[str, bool, bool]] = []
+    lines: list[tuple[str, bool, bool, float]] = []
     parts: list[str] = []
-    opened: list[tuple[str, bool, bool]] = []  # name, beside, main
+    opened: list[tuple[str, bool, bool, bool]] = []  # name, beside, main, beside by its name
+    words = ASIDE_PARTS if parts_count else ASIDE_WORDS
 
     def state() -> tuple[bool, bool]:
-        return any(x[1] for x in opened), any(x[2] for x in opened)
+        since = max((k for k, x in enumerate(opened) if x[2]), default=0) if reopened else 0
+        return any(x[1] or x[3] and k >= since for k, x in enumerate(opened)), any(x[2] for x in opened)
 
-    beside, inside = False, False
+    beside, inside, in_link, linked = False, False, False, 0
 
     def close_line() -> None:
+        nonlocal in_link, linked
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append((text, beside, inside))
+            lines.append((text, beside, inside, min(1.0, linked / len(text))))
+        in_link, linked = False, 0
 
     at = 0
     for found in MARKUP.finditer(page):
         parts.append(page[at : found.start()])
+        linked += len(parts[-1].strip()) * in_link
         at = found.end()
         tag = found.group()
         if found.group(1) or not (named := NAME.match(tag)):
             continue
         name = named.group(2).lower()
         if name in INLINE:
+            if name == "a":
+                in_link = not named.group(1)
             continue
         close_line()
         if named.group(1):
@@ -84,9 +97,9 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and opened and opened[-1][0] == name:
                 opened.pop()  # their end tags may be left out
             hints = " ".join("".join(x) for x in HINT.findall(tag))
-            off = name in ASIDE or bool(hints and name not in MAIN and name not in ("body", "html") and ASIDE_WORDS.search(hints))
-            off = off or (name == HEADER and not any(x[2] for x in opened))
-            opened.append((name, off, name in MAIN))
+            named_so = bool(hints and name not in MAIN and name not in ("body", "html") and words.search(hints))
+            off = name in ASIDE or (name == HEADER and not any(x[2] for x in opened))
+            opened.append((name, off, name in MAIN, named_so))
         beside, inside = state()
     parts.append(page[at:])
     close_line()
@@ -122,24 +135,40 @@ def main_text(page: str | None, share: float = 0.2) -> str:
 
     Lines beside the article count as empty, and so many empty lines are put
     in their place that a window sees nothing. Where the page marks an article
-    and it holds text, lines outside it count as beside it. The block with the
-    most text is kept, with all others that have ``share`` of its text; inside
-    a marked article all blocks are.
+    and it holds text, lines outside it count as beside it; all its blocks are
+    kept. Elsewhere blocks with ``share`` of the largest block's text are kept,
+    and smaller ones unless most of their text is links.
+
+    Parts of class names only count where most of the page isn't lost by them,
+    and an article inside an element named as if beside it is taken where it
+    holds more text than all else.
     """
     if not page:
         return ""
+    size = lambda found: sum(len(x[0]) for x in found)
+    plain = lambda found: [x for x in found if not x[1]]
     lines = page_lines(page)
-    marked = any(inside and not beside for _, beside, inside in lines)
+    if 2 * size(plain(lines)) < size(lines):
+        others = page_lines(page, parts_count=False)
+        if size(plain(others)) > 2 * size(plain(lines)):
+            lines = others
+    if not any(x[2] for x in plain(lines)) and any(x[2] for x in lines):
+        others = page_lines(page, parts_count=False, reopened=True)
+        if size(x for x in plain(others) if x[2]) > size(plain(lines)):
+            lines = others
+    marked = any(x[2] for x in plain(lines))
     texts: list[str] = []
-    for text, beside, inside in lines:
-        if beside or (marked and not inside):
-            texts.extend([""] * WINDOW)
-        else:
-            texts.append(text)
+    links: list[float] = []
+    for text, beside, inside, linked in lines:
+        out = beside or (marked and not inside)
+        texts.extend([""] * WINDOW if out else [text])
+        links.extend([0.0] * WINDOW if out else [linked * len(text)])
     blocks = line_blocks([len(t) for t in texts])
     sizes = [sum(len(t) for t in texts[a:b]) for a, b in blocks]
     most = max(sizes, default=0)
-    kept = [b for b, size in zip(blocks, sizes, strict=True) if marked or size >= share * most]
+    kept = [
+        (a, b) for (a, b), n in zip(blocks, sizes, strict=True) if marked or n >= share * most or 2 * sum(links[a:b]) < n
+    ]
     return "\n".join(t for a, b in kept for t in texts[a:b] if t)
 
 

@@ -212,3 +212,20 @@ def test_pages(spark):
     assert main_text(page) == "T & U\nOne twox\nThree"
     assert main_text(None) == main_text("") == "" and main_text("<p>plain") == "plain"
     assert len(rows(spark, "op2_main_text", "page_id")) == spark.read.parquet(f"{DATA}/pages.parquet").count()
+
+
+def test_pages_of_other_templates():
+    from dossier.llm.mainpart import main_text
+
+    long, short = "Long text of the article. " * 40, "A last paragraph."
+    links = "<ul><li><a href=x>One link</a><li><a href=y>Other link</a></ul>"
+    page = f"<body><div><p>{long}</p></div><div class=ad>Buy</div><p>{short}</p><aside>Figure</aside><p>{short}</p><nav>Menu</nav>{links}"
+    assert main_text(page) == f"{long.strip()}\n{short}\n{short}"
+    for name in ("layout with-sidebar", "post no-comments", "sidebar", "page-sidebar"):
+        inner = f"<nav>Menu</nav><article><p>{long}</p></article><div class=site-nav>Links</div>"
+        assert main_text(f"<body><p>Top</p><div class='{name}'>{inner}</div>") == long.strip(), name
+    assert main_text(f"<body><div class='post no-comments'><p>{long}</p></div>") == long.strip()
+    assert main_text(f"<article>{long}</article><div class=comments><article>{short}</article></div>") == long.strip()
+    assert main_text(f"<body><div>{long}</div><div class=comments><article>{short}</article></div>") == long.strip()
+    for head in ("<head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>", "<head><title>T</title></head><body>"):
+        assert main_text(f"<html>{head}<article><p>{short}</p></article>") == short
