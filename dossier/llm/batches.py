@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Rows handed to the function at once; with long texts fewer.
-ROWS, CHARS = 4096, 16_000_000
+ROWS, CHARS = 4096, 4_000_000
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:

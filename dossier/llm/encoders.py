@@ -1,23 +1,31 @@
-"""Public vocabularies applied word by word, with a bounded cache of words.
+"""Public vocabularies applied word by word, with a bounded memory of words.
 
 A text is cut where no token can cross: before each run of white space. Each
 distinct piece then goes to the library once, and the ids of a text are the
-joined ids of its pieces. `tests/llm/test_operators.py` holds this against the
+joined ids of its pieces. `tests/llm/test_encoders.py` holds this against the
 libraries on whole texts.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+from array import array
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
-#: Pieces kept by one Python worker; at this count the cache starts anew.
-CACHED = 400_000
+#: Bytes of remembered pieces, by their lengths and what each takes besides, in one generation.
+REMEMBERED, EACH = 64_000_000, 120
 
 #: The mark that stands for a space in sentencepiece vocabularies (fixed value).
 SPACE = "▁"
 
+#: Marks at the end of a word, after a letter that stays one in lower case: pre-tokenizers part them from it.
+MARKS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,;:!?]+\Z")
+
 #: White space as the libraries see it: Python's, without four control characters.
 WHITE, INK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 
@@ -29,6 +37,42 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory(dict):
+    """What ``make`` gives for a key, remembered in two generations of bounded size.
+
+    Once the young generation is full it becomes the old one; what is asked for
+    again moves back. A key of over a hundredth of the bound is not remembered.
+    """
+
+    def __init__(self, make: Callable, bound: int = REMEMBERED):
+        super().__init__()
+        self.make, self.bound, self.size, self.old = make, bound, 0, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        size = len(key) + (len(value) if isinstance(value, bytes) else 0) + EACH
+        if 100 * size > self.bound:
+            return value
+        self.size += size
+        if self.size > self.bound:
+            self.old, self.size = dict(self), size
+            self.clear()
+        self[key] = value
+        return value
+
+
+def little(ids: list[int] | bytes) -> bytes:
+    """Little-endian unsigned 16-bit integers."""
+    if isinstance(ids, bytes):
+        return ids
+    found = array("H", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 16-bit integers.
 
@@ -37,8 +81,7 @@ class Encoder:
     strings inside a text. Vocabularies have at most 65,536 ids.
     """
 
-    def __init__(self, path: str, cached: int = CACHED):
-        self.cached, self.ids = cached, {}
+    def __init__(self, path: str, bound: int = REMEMBERED):
         if path.endswith(".model"):
             import sentencepiece
 
@@ -47,37 +90,42 @@ class Encoder:
             self.ready = lambda text: (SPACE + text.replace(" ", SPACE)) if text else ""
             # The library puts one mark before what it is given.
             alone = [model.piece_to_id(SPACE)]
-            self.encode = lambda pieces: [
-                got if p != SPACE else alone
-                for p, got in zip(pieces, model.encode([p[1:] for p in pieces], num_threads=1), strict=True)
-            ]
+            ids = lambda piece: model.encode(piece[1:]) if piece != SPACE else alone
             size = model.get_piece_size()
             self.is_byte = np.array([model.is_byte(i) for i in range(size)])
         else:
-            import os
-
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
             self.split = re.compile(f"{WHITE}*{INK}+|{WHITE}+").findall
             self.ready = lambda text: text
-            self.encode = lambda pieces: [x.ids for x in model.encode_batch_fast(pieces, add_special_tokens=False)]
+            whole = lambda piece: model.encode(piece, add_special_tokens=False).ids
+            # Where neither white space nor case matters, plain words that differ in them only are one.
+            plain = whole("a") == whole(" a") == whole("\nA")
+
+            def ids(piece: str) -> list[int] | bytes:
+                marks = MARKS.search(piece)
+                if marks:
+                    return self.ids[piece[: marks.start()]] + self.ids[marks.group()]
+                word = piece.lstrip(" \n").lower()
+                if plain and word != piece and word.isascii() and word.isalpha():
+                    return self.ids[word]
+                return whole(piece)
+
             size = model.get_vocab_size(with_added_tokens=True)
             self.is_byte = np.zeros(size, dtype=bool)
         if size > 65_536:
             raise ValueError(f"{path} has {size} ids; 65,536 is the most")
+        self.ids = Memory(lambda piece: little(ids(piece)), bound)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        ids, out = self.ids, []
-        for text in texts:
-            pieces = self.split(self.ready(text or ""))
-            if new := list(set(pieces).difference(ids)):
-                if len(ids) + len(new) > self.cached:
-                    ids.clear()
-                    new = list(set(pieces))
-                for piece, got in zip(new, self.encode(new), strict=True):
-                    ids[piece] = np.array(got, dtype="<u2").tobytes()
-            out.append(b"".join([ids[p] for p in pieces]))
-        return out
+        known = self.ids.__getitem__
+        return [b"".join(map(known, self.split(self.ready(t)))) if t else b"" for t in texts]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary, kept by a Python worker from task to task until it needs another."""
+    return Encoder(path)

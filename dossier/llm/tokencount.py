@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .batches import map_texts
-from .encoders import CACHED, SPACE, vocabulary
+from .encoders import REMEMBERED, SPACE, Memory, vocabulary
 
 
 class MergeCounter:
@@ -24,7 +25,7 @@ class MergeCounter:
     and a word is cut further wherever no entry has its two adjacent characters.
     """
 
-    def __init__(self, path: str, cached: int = CACHED):
+    def __init__(self, path: str, bound: int = REMEMBERED):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -36,34 +37,21 @@ class MergeCounter:
         self.pairs = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         if any(p[0] != SPACE and p[1] == SPACE for p in self.pairs):
             raise ValueError(f"{path} has entries that cross a space")
-        self.words, self.parts, self.cached = {}, {}, cached
+        self.words, self.parts = Memory(self.word, bound), Memory(self.merged, bound // 4)
         self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
-        words = self.words
         pieces = self.split(SPACE + text.replace(" ", SPACE))
-        if new := set(pieces).difference(words):
-            if len(words) + len(new) > self.cached:
-                words.clear()
-                new = set(pieces)
-            for word in new:
-                words[word] = self.word(word)
-        return sum([words[p] for p in pieces])
+        return sum(map(self.words.__getitem__, pieces))
 
     def word(self, word: str) -> int:
         pairs, start, total = self.pairs, 0, 0
         for i in range(1, len(word) + 1):
             if i == len(word) or word[i - 1 : i + 1] not in pairs:
                 part, start = word[start:i], i
-                count = self.parts.get(part)
-                if count is None:
-                    count = self.merged(part)
-                    if len(self.parts) >= self.cached:
-                        self.parts.clear()
-                    self.parts[part] = count
-                total += count
+                total += self.parts[part]
         return total
 
     def merged(self, part: str) -> int:
@@ -90,6 +78,12 @@ class MergeCounter:
         return count
 
 
+@lru_cache(maxsize=1)
+def merge_counter(path: str) -> MergeCounter:
+    """The counter of a vocabulary, kept by a Python worker from task to task."""
+    return MergeCounter(path)
+
+
 def count_tokens(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -107,7 +101,7 @@ def count_tokens(
     path = model_path or vocabulary("piece_bpe_32k.model")
 
     def make():
-        counter = MergeCounter(path)
+        counter = merge_counter(path)
 
         def count(texts: list[str | None]) -> list[pa.Array]:
             tokens = [counter(t) for t in texts]
