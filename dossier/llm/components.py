@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import forget, written
 
 #: Edges that one task writes, at least, while there are that many.
 TASK_EDGES = 50_000
@@ -34,11 +34,16 @@ def connected(edges: DataFrame) -> DataFrame:
         one, two = near.toDF("a", "x"), near.toDF("b", "y")
         moved = edges.join(one, "a").select("x", "b").distinct().join(two, "b").where("x <> y")
         moved = moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        edges = written(moved, "edges", tasks)
+        last, edges = edges, written(moved, "edges", tasks)
+        forget(last)
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = levels[-1]
     for level in reversed(levels[:-1]):
         after = found.toDF("root", "further")
         found = level.join(after, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    if len(levels) > 1:
+        found = written(found, "joined")
+        forget(*levels)
+    forget(edges)
     return found

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), an own one."""
+    """The folder named by ``spark.checkpoint.dir``; an own one where it is unset on a single machine, as in tests."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -36,7 +38,19 @@ def written(df: DataFrame, tag: str, tasks: int | None = None) -> DataFrame:
         df.coalesce(tasks).write.parquet(path)
     else:
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Remove what ``written`` wrote. Only for tables from which all that follows has been written in turn."""
+    for df in frames:
+        if df is None:
+            continue
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def input_partitions(df: DataFrame, least: int = 0) -> int:
