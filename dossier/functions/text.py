@@ -5,23 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..labels import TRUNCATED
+
 #: Ends of lines.
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-HEADING = r"(?m)^(#{1,4})[ \t]+(.+)$"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: White space, that of other scripts and four control characters included; patterns with it carry UNICODE.
+SPACE = r"[\s\x1c-\x1f]"
+#: Flags: Unicode classes; only \n ends a line for ^, $ and the dot; ^ and $ at every line.
+UNICODE, LINES = "(?U)", "(?dmU)"
+#: The heading of a section; the white space after its marks may hold a line end.
+HEADING = rf"{LINES}^(#{{1,4}}){SPACE}+(.+)$"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, ideographic spaces included."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(c, rf"{UNICODE}^{SPACE}+|{SPACE}+\z", "")
 
 
 def lines(c: Column) -> Column:
     return F.split(c, LINE_ENDS)
 
 
+def found(c: Column, pattern: str, flags: str = UNICODE) -> Column:
+    """The first group of the first match; "" without one."""
+    return F.regexp_extract(c, flags + pattern, 1)
+
+
+def pieces(c: Column, separators: str) -> Column:
+    """Parts between separators, without white space around them, empty ones dropped."""
+    return F.filter(F.transform(F.split(c, UNICODE + separators), strip), lambda x: x != "")
+
+
+def alternatives(words: tuple[str, ...]) -> str:
+    """A pattern of literal words, tried in their order."""
+    return "|".join(rf"\Q{w}\E" for w in words)
+
+
 def clean_cell(c: Column) -> Column:
     """Line-break tags become spaces."""
-    return strip(F.regexp_replace(c, r"(?i)<br\s*/?>", " "))
+    return strip(F.regexp_replace(c, rf"{UNICODE}<br{SPACE}*/?>", " "))
 
 
 def safe_name(c: Column, default: str = "") -> Column:
@@ -61,12 +83,15 @@ def section(parts: Column, name: str) -> Column:
 
 def table_rows(body: Column) -> Column:
     """Cells of each line that starts with a bar, without separator rows and outer empty cells."""
-    barred = F.filter(F.transform(lines(body), strip), lambda x: x.startswith("|") & ~x.rlike(r"^\|[\s:|-]+\|?$"))
+    barred = F.filter(
+        F.transform(lines(body), strip), lambda x: x.startswith("|") & ~x.rlike(rf"{UNICODE}^\|(?:{SPACE}|[-:|])+\|\z")
+    )
 
     def cells(line: Column) -> Column:
-        parts = F.transform(F.split(line, r"\|"), clean_cell)
-        inner = F.slice(parts, 2, F.size(parts) - 1)
-        return F.when(F.try_element_at(inner, F.lit(-1)) == "", F.slice(inner, F.lit(1), F.size(inner) - 1)).otherwise(inner)
+        inner = F.split(line, r"\|")
+        inner = F.slice(inner, 2, F.size(inner) - 1)
+        kept = F.when(strip(F.try_element_at(inner, F.lit(-1))) == "", F.slice(inner, F.lit(1), F.size(inner) - 1)).otherwise(inner)
+        return F.transform(kept, clean_cell)
 
     return F.transform(barred, cells)
 
@@ -77,8 +102,8 @@ def key_values(rows: Column) -> Column:
 
     def pairs(cells: Column) -> Column:
         def step(acc: Column, cell: Column) -> Column:
-            is_key = cell.rlike("[:：]$")
-            key = strip(F.regexp_replace(F.regexp_replace(cell, "[:：]$", ""), r"\*", ""))
+            is_key = cell.rlike(rf"{UNICODE}[:：]{SPACE}*\z")
+            key = strip(F.replace(strip(F.regexp_replace(cell, rf"{UNICODE}(?:{SPACE}|\*)*[:：]{SPACE}*\z", "")), F.lit("*"), F.lit("")))
             paired = F.struct(acc["pending"].alias("key"), cell.alias("value"))
             return (
                 F.when(acc["pending"].isNotNull(), F.struct(F.lit(None).cast("string").alias("pending"), F.array_append(acc["out"], paired).alias("out")))
@@ -95,6 +120,36 @@ def key_values(rows: Column) -> Column:
     return F.filter(F.flatten(F.transform(rows, pairs)), lambda x: x["key"] != "")
 
 
+def keys_in_text(text: Column, keys: tuple[str, ...]) -> Column:
+    """(key, value) pairs of running text: a known key and a colon start a value that lasts to the next."""
+    mark = rf"{UNICODE}({alternatives(keys)}){SPACE}*[:：]{SPACE}*"
+    names, values = F.regexp_extract_all(text, F.lit(mark), F.lit(1)), F.split(text, mark)
+    return F.transform(names, lambda n, i: F.struct(n.alias("key"), strip(F.get(values, i + 1)).alias("value")))
+
+
+def running_text(section: Column) -> Column:
+    """Lines that are no images and no headings, joined by spaces, without bold marks."""
+    plain = F.filter(
+        F.transform(lines(section), strip), lambda x: (x != "") & ~x.startswith("![") & ~x.rlike(rf"{UNICODE}^#{{1,4}}{SPACE}+")
+    )
+    return F.replace(F.array_join(plain, " "), F.lit("**"), F.lit(""))
+
+
+def last_of_each(pairs: Column) -> Column:
+    """Of each key the last pair."""
+    return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+
+
+def first_of_each(pairs: Column) -> Column:
+    """Of each key the first pair."""
+    return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda y: y["key"] == x["key"]))
+
+
+def filled(pairs: Column, more: Column) -> Column:
+    """Pairs that hold text, then ``more``, then those left: the first of a key counts."""
+    return F.concat(F.filter(pairs, lambda x: x["value"] != ""), more, pairs)
+
+
 def value(pairs: Column, *keys: str) -> Column:
     """The last value of the first key that is present; "" without one."""
 
@@ -104,33 +159,75 @@ def value(pairs: Column, *keys: str) -> Column:
     return F.coalesce(*[last(k) for k in keys], F.lit(""))
 
 
+def first_value(pairs: Column, *keys: str) -> Column:
+    """The first value of the first key that is present; "" without one."""
+
+    def first(key: str) -> Column:
+        return F.get(F.filter(pairs, lambda x: x["key"] == key), 0)["value"]
+
+    return F.coalesce(*[first(k) for k in keys], F.lit(""))
+
+
 def hashtags(body: Column) -> Column:
-    """Distinct tags of lines that start with # and are no headings, in order."""
-    tagged = F.filter(F.transform(lines(body), strip), lambda x: x.startswith("#") & ~x.rlike(r"^#{1,6}\s"))
-    found = F.flatten(F.transform(tagged, lambda x: F.regexp_extract_all(x, F.lit(r"#([^#]+?)(?=\s+#|$)"), F.lit(1))))
-    return F.array_distinct(F.filter(F.transform(found, strip), lambda x: x != ""))
+    """Distinct tags of lines that start with # and are no headings, in order; a tag with # inside is none."""
+    tagged = F.filter(F.transform(lines(body), strip), lambda x: x.startswith("#") & ~x.rlike(rf"{UNICODE}^#{{1,4}}{SPACE}+\S"))
+    tags = F.flatten(F.transform(tagged, lambda x: F.regexp_extract_all(x, F.lit(rf"{UNICODE}#(\S[^#]*?)(?={SPACE}+#|{SPACE}*\z)"), F.lit(1))))
+    return F.array_distinct(F.filter(F.transform(tags, strip), lambda x: x != ""))
+
+
+def hashtag_lines(text: Column) -> Column:
+    """For display: tags of each line that holds nothing else, parted by white space."""
+    whole = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: x.rlike(r"^#\w\S*(?:\s+#\w\S*)*$"))
+    return F.transform(whole, lambda x: F.transform(F.split(x, r"\s+"), lambda t: F.substr(t, F.lit(2))))
 
 
 def split_documents(text: Column, heading: str) -> Column:
-    """One text for each person: cut before headings named ``heading``; text before the first stays."""
-    parts = F.split(text, rf"(?m)^(?=#{{1,6}} {heading})")
-    loose = F.split(text, rf"(?m)^(?=#{{1,6}}\s*{heading})")
-    chosen = F.when(F.size(parts) > 1, parts).otherwise(loose)
-    return F.filter(F.transform(chosen, strip), lambda x: x != "")
+    """One text for each person: cut before lines of 1 to 6 # and ``heading``; text before the first stays.
+
+    A blank text is one part as it is.
+    """
+    parts = F.filter(F.transform(F.split(text, rf"{LINES}(?=^#{{1,6}} {heading}$)"), strip), lambda x: x != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+
+
+def log_name(text: Column, index: Column, key: str) -> Column:
+    """The value cell beside the name key, else candidate_ and the number."""
+    name = strip(found(text, rf"\Q{key}\E:{SPACE}*\|{SPACE}*([^\n|]+)"))
+    return F.when(text.rlike(rf"{UNICODE}\Q{key}\E:{SPACE}*\|{SPACE}*[^\n|]+"), name).otherwise(F.concat(F.lit("candidate_"), index.cast("string")))
 
 
 def first_number(c: Column) -> Column:
     return F.regexp_extract(c, r"(\d+)", 1).try_cast("double")
 
 
-def score_band(score: Column, cuts: tuple[float, ...] = (80, 60, 40), names: tuple[str, ...] = ("80+", "60-79", "40-59", "<40"), missing: str = "No Score") -> Column:
-    """The name of the first cut that ``score`` reaches; ``missing`` for null."""
+def score_band(
+    score: Column,
+    cuts: tuple[float, ...] = (80, 60, 40),
+    names: tuple[str, ...] = ("80+", "60-79", "40-59", "<40"),
+    missing: str = "No Score",
+    rounded: bool = False,
+) -> Column:
+    """The name of the first cut that ``score`` reaches, after rounding to one place if asked; ``missing`` for null."""
+    reached = round_to_tenth(score) if rounded else score
     band = F.when(score.isNull(), missing)
     for cut, name in zip(cuts, names, strict=False):
-        band = band.when(score >= cut, name)
+        band = band.when(reached >= cut, name)
     return band.otherwise(names[-1])
 
 
+def round_to_tenth(c: Column) -> Column:
+    """To one place by the exact value of the double, ties to the even digit.
+
+    Twenty times the value less an odd number tells which tenth is nearer; as
+    16 and 4 times it, no step of that is rounded.
+    """
+    low = F.floor(c * 10)
+    odd = (low * 2 + 1).cast("double")
+    over = (c * 16 - odd) + c * 4
+    up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2)) == 1))
+    return (F.when(up, low + 1).otherwise(low) / F.lit(10)).cast("double")
+
+
 def score_label(score: Column) -> Column:
     """Rounded half up; -- for null."""
     return F.coalesce(F.floor(score + 0.5).cast("string"), F.lit("--"))
@@ -143,14 +240,15 @@ def preview(items: Column, n: int) -> tuple[Column, Column]:
 
 def strip_fences(c: Column) -> Column:
     """Without the code fence around a reply."""
-    opened = F.regexp_replace(F.regexp_replace(c, r"^```[a-zA-Z]*\s*\n?", ""), r"\n?\s*```\s*$", "")
-    return F.when(strip(c).startswith("```"), strip(opened)).otherwise(strip(c))
+    text = strip(c)
+    opened = F.regexp_replace(F.regexp_replace(text, r"(?U)^```\w*\n?", ""), r"\n?```\z", "")
+    return F.when(text.startswith("```"), strip(opened)).otherwise(text)
 
 
 def within_budget(c: Column, context: int = 4096, response: int = 2048, system_chars: int = 0) -> Column:
     """Cut to what a model's context leaves, at two characters a token, with a marker."""
     limit = max((context - (system_chars // 2 + 50) - response) * 2, 500)
-    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit("\n\n[... truncated ...]"))).otherwise(c)
+    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit(TRUNCATED))).otherwise(c)
 
 
 def encode_list(c: Column) -> Column:
@@ -160,3 +258,11 @@ def encode_list(c: Column) -> Column:
 def decode_list(c: Column) -> Column:
     """Null and empty text give an empty list."""
     return F.coalesce(F.from_json(F.nullif(c, F.lit("")), "array<string>"), F.expr("cast(array() as array<string>)"))
+
+
+def path_parts(c: Column) -> tuple[Column, Column, Column]:
+    """Folder, stem and suffix of a path; the suffix has its dot."""
+    name = F.regexp_extract(c, r"([^/]*)/*$", 1)
+    folder = F.regexp_replace(F.regexp_extract(c, r"^(.*)/[^/]*$", 1), r"/+$", "")
+    suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    return folder, F.left(name, F.length(name) - F.length(suffix)), suffix

@@ -1,91 +1,363 @@
-"""Nested records read from the markdown of one person."""
+"""Nested records read from the markdown of one person. Column expressions alone: nothing is shuffled, no value fails."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bodies, decode_list, hashtags, headings, key_values, section, sections, split_documents, strip, table_rows, value
+from .. import labels as L
+from ..functions import text as T
 
-#: Headings and keys of the documents (fixed values).
-BASIC, CONTACT, WORK, EDUCATION, SKILLS = "基本資料", "聯絡方式", "工作經驗", "教育背景", "才能專長"
-NAME_KEYS, CODE_KEY, AGE_KEY = ("姓/名", "姓名"), "104代碼", "年齡"
-NATIONALITY, INDUSTRY = "國籍", "希望產業"
-COMPANY = r"(.+?)\s*,\s*(\d{4}/\d{2}/\d{2})\s*~\s*(\S+)"
+#: A line of a company: name, start, end and, in brackets, how long (fixed pattern).
+COMPANY = rf"(.+?){T.SPACE}*,{T.SPACE}*(\d{{4}}/\d{{2}}/\d{{2}}){T.SPACE}*~{T.SPACE}*(\S+){T.SPACE}*\(([^)]+)\)"
+SEPARATORS = "[,，、]"
+PAIRS = "array<struct<key:string,value:string>>"
+#: Text columns and list columns of a record, in the order of the stored table.
+TEXTS = (
+    "name", "english_name", "code", "birth_year", "age", "nationality", "current_status", "earliest_start", "education_level",
+    "school", "major", "military_status", "desired_salary", "desired_industry", "years_of_experience", "linkedin_url", "photo_path",
+    "email", "mobile1", "mobile2", "phone_home", "phone_work", "district", "mailing_address", "work_type", "shift_preference",
+    "remote_work_preference", "skills_text", "self_introduction",
+)
+LISTS = ("desired_job_categories", "desired_locations", "ideal_positions", "skill_tags")
+CHILDREN = {
+    "work": "array<struct<seq:int,company_name:string,date_start:string,date_end:string,duration:string,industry:string,company_size:string,job_category:string,management_responsibility:string,job_title:string,job_description:string,job_skills:string>>",
+    "education": "array<struct<seq:int,school:string,department:string,degree_level:string,date_start:string,date_end:string,region:string,status:string>>",
+    "references": "array<struct<ref_name:string,ref_email:string,ref_org:string,ref_title:string>>",
+    "attachments": "array<struct<attachment_type:string,seq:int,name:string,description:string,url:string>>",
+}
+
+
+def _held(c: Column) -> Column:
+    """``c``, kept apart from what is asked of it later.
+
+    The optimizer would write the steps of a parser into each filter on their
+    result, and reason about every step for each join, at a cost that doubles
+    from step to step. It does neither with columns that are not deterministic;
+    this condition isn't in its eyes, and always holds.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
+def _with(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return df.withColumns({n: _held(c) for n, c in columns.items()})
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as {kind})")
+
+
+def _any(c: Column, words: tuple[str, ...]) -> Column:
+    """Whether ``c`` contains one of the words."""
+    return c.rlike(T.alternatives(words))
+
+
+def _by_name(parts: Column, names: tuple[str, ...]) -> Column:
+    """Body of the section with the first of ``names`` that exists; "" without one."""
+    return F.coalesce(*[F.get(F.filter(parts, lambda s: s["name"] == n), 0)["body"] for n in names], F.lit(""))
+
+
+def _nameless(pairs: Column) -> Column:
+    one, two = (T.first_value(pairs, k) for k in L.NAME)
+    return (one == "") & (two == "")
+
+
+def with_basic(df: DataFrame, section: str, rows: str, out: str) -> DataFrame:
+    """``out``: pairs of the basic section; the first of a key counts.
+
+    Where the table has no name, pairs of the running text fill in what is
+    missing or empty; where there is still none, those of the text after line
+    breaks in cells are opened.
+    """
+    body, none = F.col(section), _none(PAIRS)
+    opened = F.regexp_replace(F.regexp_replace(body, rf"{T.UNICODE}<br{T.SPACE}*/?>", "\n"), r"\|", " ")
+    flat = lambda c: T.first_of_each(T.keys_in_text(T.running_text(c), L.BASIC_KEYS))
+    df = _with(df, {"_kv": T.last_of_each(T.key_values(F.col(rows)))})
+    df = _with(df, {"_more": F.when(_nameless(F.col("_kv")), flat(body)).otherwise(none)})
+    df = _with(df, {"_kv": T.filled(F.col("_kv"), F.col("_more"))})
+    df = _with(df, {"_more": F.when(_nameless(F.col("_kv")), flat(opened)).otherwise(none)})
+    return _with(df, {out: T.filled(T.first_of_each(F.col("_kv")), F.col("_more"))}).drop("_kv", "_more")
+
+
+def person_name(section: Column, rows: Column, pairs: Column) -> Column:
+    """The name without its sign of gender; where keys give none, from four other layouts."""
+    signless = lambda c: T.strip(F.regexp_replace(c, rf"{T.UNICODE}{T.SPACE}*[♂♀]{T.SPACE}*", ""))
+    keyed = signless(F.get(F.split(T.first_value(pairs, *L.NAME), T.alternatives((*L.ENGLISH_NAME, L.CODE))), 0))
+    colon, rest = rf"{T.SPACE}*[:：]{T.SPACE}*", r"([^♂♀\n|*:：]+)"
+    bold = rf"姓\*{{0,2}}[/／]\*{{0,2}}名\*{{0,2}}{colon}\*{{0,2}}{T.SPACE}*{rest}"
+    plain = rf"姓名{colon}{rest}"
+    signed = F.get(
+        F.filter(rows, lambda r: (F.size(r) >= 2) & F.get(r, F.lit(0)).rlike("[♂♀]") & _any(F.get(r, F.lit(1)), (*L.ENGLISH_NAME, L.CODE))), 0
+    )
+    piped = T.strip(T.found(section, rf"^\|{T.SPACE}*((?!{T.SPACE})[^|][^|]*?){T.SPACE}*\|{{1,2}}{T.SPACE}*$", T.LINES))
+    piped = F.when((F.length(piped) <= 30) & ~piped.rlike("[:：]"), piped).otherwise("")
+    beside = F.coalesce(signless(F.get(signed, F.lit(0))), F.lit(""))
+    loose = (
+        F.when(section.rlike(T.UNICODE + bold), T.strip(T.found(section, bold)))
+        .when(section.rlike(T.UNICODE + plain), T.strip(T.found(section, plain)))
+        .when(beside != "", beside)
+        .otherwise(piped)
+    )
+    return T.strip(F.replace(F.when(keyed != "", keyed).otherwise(loose), F.lit("|"), F.lit("")))
+
+
+def person_code(section: Column, pairs: Column) -> Column:
+    """Leading digits of the code; without a value beside the key, from the raw section."""
+    keyed = T.first_value(pairs, L.CODE)
+    raw = T.found(section, rf"104\*{{0,2}}代碼\*{{0,2}}{T.SPACE}*[:：]{T.SPACE}*\*{{0,2}}{T.SPACE}*(\d+)")
+    return T.found(F.when(keyed != "", keyed).otherwise(raw), r"^(\d+)")
 
 
 def birth_and_age(text: Column) -> tuple[Column, Column]:
     """``2002(24)`` gives both; any other text is given for both."""
-    both = text.rlike(r"^\d{4}\s*\(\d+\)")
-    year = F.when(both, F.regexp_extract(text, r"^(\d{4})", 1)).otherwise(text)
-    return year, F.when(both, F.regexp_extract(text, r"\((\d+)\)", 1)).otherwise(text)
+    both = rf"^(\d{{4}}){T.SPACE}*\((\d+)\)"
+    has = text.rlike(T.UNICODE + both)
+    year = F.when(has, T.found(text, both)).otherwise(text)
+    return year, F.when(has, F.regexp_extract(text, T.UNICODE + both, 2)).otherwise(text)
+
+
+def job_categories(rows: Column) -> Column:
+    """Values beside the key in its row, joined and parted again; signs that stand alone are left out."""
+    key = L.JOB_CATEGORIES
+    row = F.coalesce(F.get(F.filter(rows, lambda r: F.exists(r, lambda c: c.contains(key))), 0), _none("array<string>"))
+    at = F.array_position(F.transform(row, lambda c: c.contains(key)), True).cast("int")
+    after = F.filter(F.slice(row, F.greatest(at, F.lit(1)), F.size(row)), lambda c: ~c.contains(key) & (c != "") & ~c.rlike("[:：]$"))
+    return F.filter(T.pieces(F.array_join(after, ", "), SEPARATORS), lambda x: F.length(x) > 1)
+
+
+def profile_link(section: Column) -> Column:
+    """A labelled profile link, else any; without closing brackets, marks of escape undone."""
+    flags = "(?iU)"
+    labelled = rf"linkedin:{T.SPACE}*\[?(https?://[^\s\x1c-\x1f\]]+)"
+    link = F.when(section.rlike(flags + labelled), T.found(section, labelled, flags)).otherwise(
+        T.found(section, r"(https?://(?:www\.)?linkedin\.com/[^\s\x1c-\x1f\]]+)", flags)
+    )
+    return F.replace(F.regexp_replace(link, r"\)+$", ""), F.lit("\\_"), F.lit("_"))
+
+
+def summary(section: Column, ends: tuple[str, ...] = L.AFTER_SUMMARY) -> Column:
+    """The personal summary in the basic section, up to what may follow it."""
+    body = rf"\Q{L.SUMMARY}\E\*{{0,2}}[:：]\*{{0,2}}{T.SPACE}*(.*?)(?={T.alternatives(ends)}|#|\n?\z)"
+    return T.strip(T.found(section, body, "(?dsU)"))
 
 
 def company_starts(joined: Column) -> Column:
-    """Positions of rows like ``company , YYYY/MM/DD ~ end``."""
-    return F.filter(F.transform(joined, lambda x, i: F.when(x.rlike(COMPANY), i)), lambda x: x.isNotNull())
+    """Positions of texts that open a work entry."""
+    return F.filter(F.transform(joined, lambda x, i: F.when(x.rlike(T.UNICODE + COMPANY), i)), lambda x: x.isNotNull())
 
 
-def work_rows(rows: Column, joined: Column, starts: Column) -> Column:
-    """A numbered entry for each company row with the pairs that follow it.
+def work_entries(opening: Column, starts: Column, pairs: Column, carried: Column | None = None) -> Column:
+    """A numbered entry for each opening text with the pairs that follow it.
 
-    Pass columns that are computed already: they are read once for each entry.
+    ``opening`` are all texts in order, ``pairs`` the pairs of each, and
+    ``carried`` is put before those of the first entry. The last value of a
+    field counts; of description and skills only those with text. Pass columns
+    that are computed already: they are read once for each entry.
     """
-    none = F.expr("cast(array() as array<array<string>>)")
 
     def entry(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(starts, k + 1), F.size(rows))
-        line = F.get(joined, start)
-        inner = F.when(end - start > 1, F.slice(rows, start + 2, end - start - 1)).otherwise(none)
+        end = F.coalesce(F.get(starts, k + 1), F.size(opening))
+        line = F.get(opening, start)
+        own = F.flatten(F.slice(pairs, start + 2, F.greatest(end - start - 1, F.lit(0))))
+        if carried is not None:
+            own = F.when(k == 0, F.concat(carried, own)).otherwise(own)
+        texts = lambda keys: T.value(F.filter(own, lambda x: x["key"].isin(*keys) & (x["value"] != "")), *keys[::-1])
         return F.struct(
-            (k + 1).alias("seq"),
-            strip(F.regexp_extract(line, COMPANY, 1)).alias("company_name"),
-            F.regexp_extract(line, COMPANY, 2).alias("date_start"),
-            F.regexp_extract(line, COMPANY, 3).alias("date_end"),
-            value(key_values(inner), "職務類別").alias("job_category"),
+            (k + 1).cast("int").alias("seq"),
+            T.strip(T.found(line, COMPANY)).alias("company_name"),
+            *[F.regexp_extract(line, T.UNICODE + COMPANY, g).alias(n) for g, n in ((2, "date_start"), (3, "date_end"), (4, "duration"))],
+            *[T.value(own, *keys).alias(n) for n, keys in L.WORK_FIELDS.items()],
+            *[texts(keys).alias(n) for n, keys in L.WORK_TEXTS.items()],
         )
 
     return F.transform(starts, entry)
 
 
+def education_entries(rows: Column) -> Column:
+    """Rows that begin with a number and a point, seven cells each; header rows are skipped."""
+
+    def entry(r: Column) -> Column:
+        cell = lambda k: F.coalesce(F.get(r, F.lit(k)), F.lit(""))
+        full_width = F.translate(F.regexp_replace(cell(0), r"\.+$", ""), "０１２３４５６７８９", "0123456789")
+        period = rf"^(\d{{4}}/\d{{2}}/\d{{2}}){T.SPACE}*~{T.SPACE}*(\d{{4}}/\d{{2}}/\d{{2}})"
+        return F.struct(
+            F.coalesce(F.when(full_width.rlike(r"^\d+$"), full_width.try_cast("int")), F.lit(0)).alias("seq"),
+            cell(1).alias("school"),
+            cell(2).alias("department"),
+            cell(3).alias("degree_level"),
+            T.found(cell(4), period).alias("date_start"),
+            F.regexp_extract(cell(4), T.UNICODE + period, 2).alias("date_end"),
+            cell(5).alias("region"),
+            cell(6).alias("status"),
+        )
+
+    header = lambda r: F.exists(r, lambda c: c.isin(*L.EDUCATION_HEADERS))
+    numbered = lambda r: F.coalesce(F.get(r, F.lit(0)).rlike(rf"{T.UNICODE}^\d+\."), F.lit(False))
+    return F.transform(F.filter(rows, lambda r: ~header(r) & numbered(r)), entry)
+
+
+def recovered_work(section: Column, md: Column) -> Column:
+    """The work section; where it is under 50 signs, all from its heading to that of skills or introduction."""
+    start = rf"^#{{1,4}}{T.SPACE}+[⼯工]作經驗"
+    end = rf"^#{{1,4}}{T.SPACE}+(?:才能專[⻑長]|⾃我介紹|自我介紹)"
+    again = (F.length(section) < 50) & md.rlike(T.LINES + start)
+    return F.when(again, T.found(md, rf"{start}(.*?)(?={end}|\z)", "(?dmsU)")).otherwise(section)
+
+
+def skills_block(md: Column) -> Column:
+    """From the skills heading, that included, to the heading of the introduction or the end."""
+    flags = "(?dmsU)"
+    starts = [rf"^#{{1,4}}{T.SPACE}+{w}" for w in L.SKILLS]
+    ends = [rf"^#{{1,2}}{T.SPACE}+{w}" for w in L.INTRODUCTION]
+
+    def block(start: str) -> Column:
+        out = T.found(md, rf"({start}.*)\z", flags)
+        for end in reversed(ends):
+            out = F.when(md.rlike(rf"{flags}{start}.*{end}"), T.found(md, rf"({start}.*?)(?={end})", flags)).otherwise(out)
+        return out
+
+    return T.strip(F.when(md.rlike(flags + starts[0]), block(starts[0])).otherwise(block(starts[1])))
+
+
+def attachment_entries(rows: Column) -> Column:
+    """Numbered rows under the labels of references or attachments, numbered anew; others are dropped."""
+    labels = ((L.REFERENCES, "ref"), ((L.ATTACHMENTS,), "att"), ((L.PROJECTS,), "project"), ((L.OTHER_WORKS,), "other"))
+    number = rf"{T.UNICODE}^\d+\.$"
+
+    def kind(r: Column) -> Column:
+        joined = F.array_join(r, " ")
+        return F.coalesce(*[F.when(_any(joined, words), F.lit(mode)) for words, mode in reversed(labels)])
+
+    def step(acc: Column, r: Column) -> Column:
+        mode = F.coalesce(kind(r), acc["mode"])
+        header = F.exists(r, lambda c: c.isin(*L.ATTACHMENT_HEADERS))
+        counts = mode.isin("ref", "att") & ~header & F.exists(r, lambda c: c.rlike(number))
+        own = F.filter(r, lambda c: (c != "") & ~c.rlike(number) & ~c.isin(*L.REFERENCES, L.ATTACHMENTS))
+        entry = F.struct(
+            F.lit(L.ATTACHMENTS).alias("attachment_type"),
+            (F.size(acc["out"]) + 1).alias("seq"),
+            F.coalesce(F.get(own, F.lit(0)), F.lit("")).alias("name"),
+            F.lit("").alias("description"),
+            F.coalesce(F.get(own, F.lit(1)), F.lit("")).alias("url"),
+        )
+        return F.struct(mode.alias("mode"), F.when(counts, F.array_append(acc["out"], entry)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit("").alias("mode"), _none(CHILDREN["attachments"]).alias("out"))
+    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+
+
 def parse_records(df: DataFrame, text_col: str = "markdown", keep: list[str] | None = None) -> DataFrame:
-    """Name, code, birth year, age, nationality, industry, email, work entries and skills of each text.
+    """``keep`` and the whole record of each text: TEXTS, LISTS and CHILDREN.
 
-    Column expressions alone; nothing is shuffled and no value fails: what is
-    missing is "" or an empty list.
+    What is missing is "" or an empty list; references are always empty. A null
+    text gives an empty record. A bare bar gives a row without cells, which is
+    skipped.
     """
     keep = keep or []
     # Each step is a projection of its own, so that no step is computed again for every use.
     md = F.coalesce(F.col(text_col), F.lit(""))
-    at = df.select(*keep, headings(md).alias("_names"), bodies(md).alias("_bodies"))
-    at = at.select(*keep, sections(F.col("_names"), F.col("_bodies")).alias("_parts"))
-    named = {"basic": BASIC, "contact": CONTACT, "work": WORK}
-    at = at.select(*keep, *[section(F.col("_parts"), v).alias(f"_{k}") for k, v in named.items()], section(F.col("_parts"), SKILLS).alias("_skills"))
-    at = at.select(*keep, "_skills", *[table_rows(F.col(f"_{k}")).alias(f"_{k}") for k in named])
-    joined = F.transform("_work", lambda r: F.array_join(r, " "))
-    at = at.select(*keep, "_skills", "_work", joined.alias("_joined"), key_values(F.col("_basic")).alias("_basic"), key_values(F.col("_contact")).alias("_contact"))
-    at = at.select("*", company_starts(F.col("_joined")).alias("_starts"))
-    year, age = birth_and_age(value(F.col("_basic"), AGE_KEY))
-    name = F.regexp_replace(value(F.col("_basic"), *NAME_KEYS), r"[♂♀|]", "")
-    return at.select(
-        *keep,
-        strip(name).alias("name"),
-        F.regexp_extract(value(F.col("_basic"), CODE_KEY), r"^(\d+)", 1).alias("code"),
-        year.alias("birth_year"),
-        age.alias("age"),
-        value(F.col("_basic"), NATIONALITY).alias("nationality"),
-        value(F.col("_basic"), INDUSTRY).alias("desired_industry"),
-        value(F.col("_contact"), "E-mail", "Email").alias("email"),
-        work_rows(F.col("_work"), F.col("_joined"), F.col("_starts")).alias("work"),
-        hashtags(F.col("_skills")).alias("skill_tags"),
+    at = df.select(*keep, _held(md).alias("_md"))
+    at = _with(at, {"_names": T.headings(F.col("_md")), "_bodies": T.bodies(F.col("_md"))})
+    at = _with(at, {"_parts": T.sections(F.col("_names"), F.col("_bodies"))}).drop("_names", "_bodies")
+    parts, md = F.col("_parts"), F.col("_md")
+    has_basic = F.exists(parts, lambda s: s["name"] == L.BASIC)
+    at = _with(at, {"_basic": F.when(has_basic, _by_name(parts, (L.BASIC,))).otherwise(_by_name(parts, ("_preamble",)))})
+    named = _by_name(parts, L.CONTACT)
+    glued = F.get(F.filter(parts, lambda s: s["name"].rlike(f"^(?:{T.alternatives(L.CONTACT)})")), 0)
+    glued = F.coalesce(F.concat(glued["name"], F.lit(" "), glued["body"]), F.lit(""))
+    wishes = F.get(F.filter(parts, lambda s: _any(s["body"], L.PREFERENCES)), 0)["body"]
+    at = _with(
+        at,
+        {
+            "_contact": F.when(named != "", named).when(glued != "", glued).otherwise(F.col("_basic")),
+            "_work": recovered_work(_by_name(parts, L.WORK), md),
+            "_wishes": F.coalesce(wishes, F.lit("")),
+            "_skills": skills_block(md),
+            "_intro": _by_name(parts, L.INTRODUCTION),
+        }
     )
+    # The first section whose table has one of the labels in its first column.
+    labelled = F.transform(parts, lambda s: T.table_rows(s["body"]))
+    at = _with(at, {"_tables": labelled})
+    first_cells = lambda rows: F.array_join(F.transform(rows, lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))), " ")
+    tables = F.filter("_tables", lambda rows: _any(first_cells(rows), (*L.REFERENCES, L.ATTACHMENTS)))
+    education = F.when(F.contains("_work", F.lit(L.EDUCATION)), T.found(F.col("_work"), rf"({L.EDUCATION}.*)\z", "(?s)")).otherwise(F.col("_work"))
+    at = _with(
+        at,
+        {
+            "_attached": F.coalesce(F.get(tables, 0), _none("array<array<string>>")),
+            "_basic_rows": T.table_rows(F.col("_basic")),
+            "_contact_rows": T.table_rows(F.col("_contact")),
+            "_work_rows": T.table_rows(F.col("_work")),
+            "_education_rows": T.table_rows(education),
+            "_wishes": T.key_values(T.table_rows(F.col("_wishes"))),
+            "_work_lines": F.filter(F.transform(T.lines(F.replace(F.col("_work"), F.lit("**"), F.lit(""))), T.strip), lambda x: x != ""),
+        }
+    ).drop("_parts", "_tables", "_md")
+    at = with_basic(at, "_basic", "_basic_rows", "_pairs")
+    table = T.last_of_each(T.key_values(F.col("_contact_rows")))
+    at = _with(at, {"_contacts": table})
+    flat = T.first_of_each(T.keys_in_text(F.replace(F.col("_contact"), F.lit("**"), F.lit("")), L.CONTACT_KEYS))
+    at = _with(at, {"_contacts": F.when(T.first_value(F.col("_contacts"), "email") == "", F.concat("_contacts", flat)).otherwise(F.col("_contacts"))})
+    joined = F.transform("_work_rows", lambda r: F.array_join(r, " "))
+    none = _none("array<int>")
+    at = _with(at, {"_joined": joined, "_row_pairs": F.transform("_work_rows", lambda r: T.key_values(F.array(r)))})
+    at = _with(at, {"_starts": company_starts(F.col("_joined"))})
+    by_rows = F.size("_starts") > 0
+    at = _with(at, {"_line_starts": F.when(by_rows, none).otherwise(company_starts(F.col("_work_lines")))})
+    by_lines = F.size("_line_starts") > 0
+    line_pairs = F.transform("_work_lines", lambda x: T.keys_in_text(x, L.WORK_KEYS))
+    at = _with(at, {"_line_pairs": F.when(by_lines, line_pairs).otherwise(_none(f"array<{PAIRS}>"))})
+    before = F.flatten(F.slice("_line_pairs", F.lit(1), F.coalesce(F.get("_line_starts", F.lit(0)), F.lit(0))))
+    at = _with(at, {"_before": before})
+    work = F.when(by_rows, work_entries(F.col("_joined"), F.col("_starts"), F.col("_row_pairs"))).otherwise(
+        work_entries(F.col("_work_lines"), F.col("_line_starts"), F.col("_line_pairs"), F.col("_before"))
+    )
+    basic, pairs, contacts = F.col("_basic"), F.col("_pairs"), F.col("_contacts")
+    year, age = birth_and_age(T.first_value(pairs, L.AGE))
+    own = summary(basic)
+    intro = T.strip(F.regexp_replace("_intro", rf"(?dU)#{{1,4}}{T.SPACE}+.+", ""))
+    introduction = F.when(own != "", own).when(intro != "", intro).otherwise(summary(basic, L.AFTER_SUMMARY[:2]))
+    fields = {
+        "name": person_name(basic, F.col("_basic_rows"), pairs),
+        "english_name": T.first_value(pairs, *L.ENGLISH_NAME),
+        "code": person_code(basic, pairs),
+        "birth_year": year,
+        "age": age,
+        **{n: T.first_value(pairs, *keys) for n, keys in L.SCALARS.items()},
+        "linkedin_url": profile_link(basic),
+        "photo_path": T.found(basic, r"!\[.*?\]\(([^)]+)\)", "(?d)"),
+        **{n: T.first_value(contacts, *keys) for n, keys in L.CONTACTS.items()},
+        **{n: T.value(F.col("_wishes"), *keys) for n, keys in L.WISHES.items()},
+        "skills_text": F.col("_skills"),
+        "self_introduction": introduction,
+        "desired_job_categories": job_categories(F.col("_basic_rows")),
+        "desired_locations": T.pieces(T.first_value(pairs, *L.LOCATIONS), SEPARATORS),
+        "ideal_positions": T.pieces(T.first_value(pairs, L.IDEAL_POSITIONS), rf"{T.SPACE}{{2,}}|[,，、\n]"),
+        "skill_tags": T.hashtags(F.col("_skills")),
+        "work": work,
+        "education": education_entries(F.col("_education_rows")),
+        "references": _none(CHILDREN["references"]),
+        "attachments": attachment_entries(F.col("_attached")),
+    }
+    kinds = dict.fromkeys(TEXTS, "string") | dict.fromkeys(LISTS, "array<string>") | CHILDREN
+    record = F.struct(*[fields[n].cast(kind).alias(n) for n, kind in kinds.items()])
+    at = at.select(*keep, _held(record).alias("_record"))
+    return at.select(*keep, *[F.col("_record")[n].alias(n) for n in kinds])
 
 
 def split_people(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row for each person's part of each document, numbered from 0."""
-    return df.select(*(keep or []), F.posexplode(split_documents(F.col(text_col), BASIC)).alias("part", "markdown"))
+    return df.select(*(keep or []), F.posexplode(T.split_documents(F.col(text_col), L.BASIC)).alias("part", "markdown"))
+
+
+def named_parts(parts: DataFrame) -> DataFrame:
+    """Rows of ``split_people`` with the name and the folder under which a part is stored, numbered from 1."""
+    name = T.log_name(F.col("markdown"), F.col("part") + 1, L.NAME[0])
+    safe = T.safe_name(name, "candidate")
+    return parts.withColumns({"log_name": name, "folder": F.concat(F.lit("candidate_"), (F.col("part") + 1).cast("string"), F.lit("_"), safe)})
 
 
 def imported(df: DataFrame, list_columns: list[str]) -> DataFrame:
     """Stored rows as records: null texts become "", encoded lists become arrays."""
-    return df.select(*[(decode_list(F.col(c)) if c in list_columns else F.coalesce(F.col(c), F.lit("")) if t == "string" else F.col(c)).alias(c) for c, t in df.dtypes])
+    return df.select(*[(T.decode_list(F.col(c)) if c in list_columns else F.coalesce(F.col(c), F.lit("")) if t == "string" else F.col(c)).alias(c) for c, t in df.dtypes])

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import labels
+from ..functions import text
 from ..functions.text import score_band, score_label
-from ..operators import changes, records, relational
-from . import tables
+from ..operators import changes, chunks, matching, records, relational, storage
+from ..streaming import ingest
+from . import rendering, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -124,8 +128,7 @@ def children_deleted(spark: SparkSession, d: str) -> DataFrame:
 )
 def parsed_records(spark: SparkSession, d: str) -> DataFrame:
     """Markdown rendered from the tables and read back as nested records."""
-    found = records.parse_records(rendered(spark, d), keep=["candidate_id"])
-    return found.select(
+    return _parsed(spark, d).select(
         "candidate_id",
         "name",
         "code",
@@ -137,24 +140,424 @@ def parsed_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def rendered(spark: SparkSession, d: str) -> DataFrame:
-    """candidate_id and markdown of every candidate."""
-    bar = F.lit(" | ")
-    line = F.concat(F.lit("| "), "company_name", F.lit(" , "), "date_start", F.lit(" ~ 2000/01/01 |\n| 職務類別： | "), "job_category", F.lit(" |\n"))
-    entries = tables.work(spark, d).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("w"))
-    tag = F.concat(F.lit("#"), F.replace("skill_name", F.lit("#"), F.lit(" ")))
-    tags = tables.skills(spark, d).groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_list(tag)), " ").alias("t"))
-    people = tables.candidates(spark, d).withColumnRenamed("id", "candidate_id")
-    basic = F.concat(
-        F.lit(f"# {records.BASIC}\n| 姓名： | "), "name", bar, F.lit("104代碼："), bar, "code", F.lit(" |\n|---|---|\n| 國籍： | "), "nationality", F.lit(" |\n")
-    )
-    return people.join(entries, "candidate_id", "left").join(tags, "candidate_id", "left").select(
-        "candidate_id",
-        F.concat(
-            basic,
-            F.lit(f"## {records.WORK}\n"),
-            F.coalesce(F.array_join(F.transform("w", lambda x: x["line"]), ""), F.lit("")),
-            F.lit(f"## {records.SKILLS}\n"),
-            F.coalesce("t", F.lit("")),
-        ).alias("markdown"),
+@lru_cache(maxsize=2)
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of the whole record, made once: its many expressions take seconds to build."""
+    return records.parse_records(rendering.rendered(spark, d), keep=["candidate_id"])
+
+
+@_query(
+    """SELECT id AS candidate_id, name, code, nationality, education_level, CAST(1950 + id % 50 AS VARCHAR) AS birth_year, CAST(id % 60 AS VARCHAR) AS age,
+    years_of_experience, 'photo_' || CAST(id AS VARCHAR) || '.png' AS photo_path, 'Intro of ' || nationality AS self_introduction FROM candidates"""
+)
+def parse_basic(spark: SparkSession, d: str) -> DataFrame:
+    """The basic section in three layouts: table, bold running text, cells with line breaks."""
+    columns = ["name", "code", "nationality", "education_level", "birth_year", "age", "years_of_experience", "photo_path", "self_introduction"]
+    return _parsed(spark, d).select("candidate_id", *columns)
+
+
+@_query(
+    """SELECT id AS candidate_id, 'user' || code || '@example.org' AS email, '09' || code AS mobile1, nationality || ' Road ' || code AS mailing_address,
+    CASE WHEN id % 2 = 0 THEN nationality ELSE '' END AS work_type FROM candidates"""
+)
+def parse_contact(spark: SparkSession, d: str) -> DataFrame:
+    """Contacts from tables and running text; preferences where there is a table of them."""
+    return _parsed(spark, d).select("candidate_id", "email", "mobile1", "mailing_address", "work_type")
+
+
+@_query(
+    """SELECT candidate_id, CAST(seq AS INTEGER) AS seq, company_name, date_start, '2000/01/01' AS date_end, '3 years' AS duration, job_category,
+    CAST(id AS VARCHAR) AS company_size FROM work"""
+)
+def parse_work(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each work entry, from tables and from lines."""
+    columns = ["seq", "company_name", "date_start", "date_end", "duration", "job_category", "company_size"]
+    return _parsed(spark, d).select("candidate_id", F.inline("work")).select("candidate_id", *columns)
+
+
+@_query("SELECT candidate_id, seq, school, department, degree_level, '1990/01/01' AS date_start, '1994/01/01' AS date_end FROM education")
+def parse_education(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["seq", "school", "department", "degree_level", "date_start", "date_end"]
+    return _parsed(spark, d).select("candidate_id", F.inline("education")).select("candidate_id", *columns)
+
+
+@_query("SELECT candidate_id, replace(skill_name, '#', ' ') AS skill_name FROM skills")
+def parse_skills(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).select("candidate_id", F.explode("skill_tags").alias("skill_name"))
+
+
+@_query(
+    """SELECT id AS candidate_id, CAST(1 AS INTEGER) AS seq, 'File ' || code AS name, 'http://f.example/' || code AS url FROM candidates
+    UNION ALL SELECT id, CAST(2 AS INTEGER), 'Second', '' FROM candidates"""
+)
+def parse_attachments(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["seq", "name", "url"]
+    return _parsed(spark, d).select("candidate_id", F.inline("attachments")).select("candidate_id", *columns)
+
+
+@_query("SELECT id AS candidate_id, name, code FROM candidates")
+def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Files of several people each, parsed as a stream of one batch, people split."""
+    folder = tables.scratch(spark)
+    rendering.rendered(spark, d).select("markdown").write.text(f"{folder}/in")
+    ingest.ingest_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", split=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.col("code").cast("long").alias("candidate_id"), "name", "code")
+
+
+@_query("SELECT id AS candidate_id, '# 基本資料' AS heading, strpos(name, 'C') AS at FROM candidates")
+def split_people(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of several people, ten customers each, cut into one part for each."""
+    people = rendering.rendered(spark, d).select("candidate_id", "markdown", F.floor(F.col("candidate_id") / 10).alias("source"))
+    whole = people.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", "markdown"))), lambda x: x["markdown"]), "\n").alias("text"))
+    parts = records.split_people(whole, keep=["source"])
+    code, name = F.regexp_extract("markdown", r"104代碼[：:*| ]+(\d+)", 1), F.regexp_extract("markdown", r"(Customer#\d+)", 1)
+    return parts.select(code.cast("long").alias("candidate_id"), F.split("markdown", "\n")[0].alias("heading"), F.locate("C", name).cast("long").alias("at"))
+
+
+@_query("SELECT o_orderkey AS id, 'h' || o_orderstatus AS name, o_orderpriority AS body FROM orders")
+def section_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of a text with a repeated heading: the last body counts."""
+    md = F.concat(F.lit("x\n# h"), "o_orderstatus", F.lit("\nfirst\n## other\ny\n# h"), "o_orderstatus", F.lit("\n"), "o_orderpriority")
+    rows = tables.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), md.alias("md"), F.concat(F.lit("h"), "o_orderstatus").alias("name"))
+    rows = rows.select("id", "name", text.headings(F.col("md")).alias("n"), text.bodies(F.col("md")).alias("b"))
+    parts = text.sections(F.col("n"), F.col("b"))
+    return rows.select("id", "name", F.get(F.filter(parts, lambda s: s["name"] == F.col("name")), 0)["body"].alias("body"))
+
+
+@_query("SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag || '|' || l_linestatus || '|a b' AS cells, l_linestatus AS value FROM lineitem")
+def table_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a table's rows and the value beside a key, the last of two."""
+    body = F.concat(F.lit("|---|---|\n| "), "l_returnflag", F.lit(" | "), "l_linestatus", F.lit(" | a<br>b |\n| k**: | no | k： | "), "l_linestatus", F.lit(" |"))
+    rows = tables.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), body.alias("body"))
+    rows = rows.select("id", "line", text.table_rows(F.col("body")).alias("rows"))
+    return rows.select("id", "line", F.array_join(F.get("rows", 0), "|").alias("cells"), text.value(text.key_values(F.col("rows")), "k").alias("value"))
+
+
+@_query("SELECT id, company_name AS company, job_category AS category FROM work")
+def running_text_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Values between known keys in running text; the first of a repeated key counts."""
+    line = F.concat(F.lit("![x](y)\n# skipped\n學校**:** "), "company_name", F.lit(" \n科系： "), "job_category", F.lit(" 學校: later"))
+    rows = tables.work(spark, d).select("id", text.keys_in_text(text.running_text(line), labels.BASIC_KEYS).alias("kv"))
+    return rows.select("id", text.first_value(F.col("kv"), "學校").alias("company"), text.first_value(F.col("kv"), "科系").alias("category"))
+
+
+@_query(
+    """SELECT candidate_id, job_id, id, overall_score FROM matches WHERE candidate_id = 7 AND job_id = 3
+    UNION ALL SELECT 0, CAST(k AS BIGINT), k, NULL FROM (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderkey = 3)"""
+)
+def point_match(spark: SparkSession, d: str) -> DataFrame:
+    """One candidate's results for one job, and one row by its id."""
+    found = relational.match_result(tables.matches(spark, d), 7, 3).select("candidate_id", "job_id", "id", "overall_score")
+    job = relational.job_requirement(tables.load(spark, d, "orders").select(F.col("o_orderkey").alias("id")), 3)
+    return found.unionByName(job.select(F.lit(0).cast("long").alias("candidate_id"), F.col("id").alias("job_id"), "id", F.lit(None).cast("double").alias("overall_score")))
+
+
+@_query(
+    """SELECT id, y BETWEEN 0 AND 2 AS a, y BETWEEN 3 AND 5 AS b, y BETWEEN 5 AND 10 AS c, y > 10 AS d FROM
+    (SELECT id, CAST(regexp_extract(years_of_experience, '([0-9]+)', 1) AS INTEGER) AS y FROM candidates)"""
+)
+def experience_ranges(spark: SparkSession, d: str) -> DataFrame:
+    years = F.col("years_of_experience")
+    ranges = zip("abcd", labels.EXPERIENCE_RANGES.values(), strict=True)
+    return tables.candidates(spark, d).select("id", *[relational.experience_within(years, *r).alias(n) for n, r in ranges])
+
+
+@_query(
+    """SELECT c.id, m.id AS match_id, coalesce(m.overall_score >= 80, false) AS a, coalesce(m.overall_score >= 60 AND m.overall_score < 80, false) AS b,
+    coalesce(m.overall_score >= 40 AND m.overall_score < 60, false) AS c, coalesce(m.overall_score < 40, false) AS d, m.overall_score IS NULL AS e
+    FROM candidates c LEFT JOIN matches m ON m.candidate_id = c.id AND m.job_id = 1"""
+)
+def score_ranges(spark: SparkSession, d: str) -> DataFrame:
+    found = tables.matches(spark, d).where("job_id = 1").select(F.col("candidate_id").alias("id"), F.col("id").alias("match_id"), "overall_score")
+    rows = tables.candidates(spark, d).select("id").join(found, "id", "left")
+    ranges = zip("abcde", labels.SCORE_RANGES, strict=True)
+    return rows.select("id", "match_id", *[F.coalesce(relational.score_within(F.col("overall_score"), r), F.lit(False)).alias(n) for n, r in ranges])
+
+
+@_query(
+    """SELECT c.id, c.name FROM candidates c LEFT JOIN (SELECT candidate_id, bool_or(contains(school, '#000000003') OR contains(school, '#000000007')) AS t
+    FROM education GROUP BY 1) e ON e.candidate_id = c.id WHERE coalesce(e.t, false) OR contains(c.nationality, 'CHINA')"""
+)
+def contains_any(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates one of whose schools, or whose own, holds one of some names."""
+    lists = relational.ordered_children(tables.education(spark, d), ["school"], "education").withColumnRenamed("candidate_id", "id")
+    rows = tables.candidates(spark, d).withColumn("school", F.col("nationality")).join(lists, "id", "left")
+    rows = rows.withColumn("education", F.coalesce("education", F.expr("array()").cast(lists.schema["education"].dataType)))
+    return relational.filter_candidates(rows, schools=["#000000003", "#000000007", "CHINA"]).select("id", "name")
+
+
+_DEGREES = """degrees AS (SELECT candidate_id, id, seq, school, department || ', ' || degree_level AS department, degree_level AS dl FROM education)"""
+
+
+@_query(
+    f""", {_DEGREES}, first AS (SELECT candidate_id, row_number() OVER (PARTITION BY candidate_id ORDER BY seq, id) AS k, school, department FROM degrees WHERE contains(dl, 'STEEL'))
+    SELECT c.id, f.school, f.department FROM candidates c LEFT JOIN first f ON f.candidate_id = c.id AND f.k = 1"""
+)
+def masters_record(spark: SparkSession, d: str) -> DataFrame:
+    """The first record whose degree holds a word, as the master's degree is shown."""
+    return _degree_rows(spark, d).select("id", relational.masters_record(F.col("education"), F.lit(None).cast("string"), F.lit(None).cast("string"), ("STEEL",)).alias("r")).select("id", "r.school", "r.department")
+
+
+@_query(
+    f""", {_DEGREES}, first AS (SELECT candidate_id, row_number() OVER (PARTITION BY candidate_id ORDER BY seq, id) AS k, school,
+      CASE WHEN contains(split_part(department, ', ', 1), '#1') THEN CASE WHEN contains(dl, '#1') THEN department ELSE dl END ELSE split_part(department, ', ', 1) END AS department
+      FROM degrees WHERE contains(dl, 'BRASS'))
+    SELECT c.id, f.school, f.department FROM candidates c LEFT JOIN first f ON f.candidate_id = c.id AND f.k = 1"""
+)
+def university_record(spark: SparkSession, d: str) -> DataFrame:
+    """The first record of a degree with the first part of its department that lacks a word."""
+    none = F.lit(None).cast("string")
+    return _degree_rows(spark, d).select("id", relational.university_record(F.col("education"), none, none, ("BRASS",), ("#1",)).alias("r")).select("id", "r.school", "r.department")
+
+
+def _degree_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.education(spark, d).withColumn("department", F.concat("department", F.lit(", "), "degree_level"))
+    lists = relational.ordered_children(rows, ["school", "department", "degree_level"], "education").withColumnRenamed("candidate_id", "id")
+    people = tables.candidates(spark, d).select("id").join(lists, "id", "left")
+    return people.withColumn("education", F.coalesce("education", F.expr("array()").cast(lists.schema["education"].dataType)))
+
+
+@_query(
+    """SELECT candidate_id AS id, array_to_string(list_slice(list(skill_name ORDER BY skill_name), 1, 5), ',') AS shown, greatest(count(*) - 5, 0) AS more
+    FROM skills GROUP BY 1"""
+)
+def list_preview(spark: SparkSession, d: str) -> DataFrame:
+    """The first five skills, a length that is the feature, and how many are left."""
+    lists = tables.skills(spark, d).groupBy("candidate_id").agg(F.array_sort(F.collect_list("skill_name")).alias("s"))
+    shown, more = text.preview(F.col("s"), 5)
+    return lists.select(F.col("candidate_id").alias("id"), F.array_join(shown, ",").alias("shown"), more.cast("long").alias("more"))
+
+
+@_query(
+    """SELECT id, CASE WHEN id % 3 = 0 THEN '無工作經驗' ELSE years_of_experience END AS years, CASE WHEN id % 2 = 0 THEN name ELSE nationality END AS label,
+    CASE WHEN id % 4 = 0 THEN NULL ELSE education_level END AS tag FROM candidates"""
+)
+def display_defaults(spark: SparkSession, d: str) -> DataFrame:
+    blank = lambda n, c: F.when(F.pmod("id", F.lit(n)) == 0, "").otherwise(F.col(c))
+    label = relational.shown_attachment(F.when(F.pmod("id", F.lit(2)) == 0, F.col("name")), F.col("nationality"))
+    tag = F.when(F.pmod("id", F.lit(4)) == 0, "無").otherwise(F.col("education_level"))
+    return tables.candidates(spark, d).select("id", relational.shown_experience(blank(3, "years_of_experience")).alias("years"), label.alias("label"), relational.shown_management(tag).alias("tag"))
+
+
+@_query("SELECT count(*) AS n FROM candidates c LEFT JOIN matches m ON m.candidate_id = c.id")
+def candidate_count(spark: SparkSession, d: str) -> DataFrame:
+    return relational.candidate_count(relational.candidate_summary(tables.candidates(spark, d), tables.matches(spark, d), tables.education(spark, d)))
+
+
+@_query(
+    """, titles AS (SELECT o_orderpriority AS title, min(o_orderkey) AS k FROM orders GROUP BY 1), old AS (SELECT dense_rank() OVER (ORDER BY title) AS id, title FROM titles WHERE title < '3'),
+    fresh AS (SELECT t.title FROM titles t UNION SELECT DISTINCT o_orderstatus FROM orders)
+    SELECT CAST(id AS BIGINT) AS id, title FROM old UNION ALL
+    SELECT CAST((SELECT max(id) FROM old) + row_number() OVER (ORDER BY title) AS BIGINT), title FROM fresh WHERE title NOT IN (SELECT title FROM old)"""
+)
+def ensured_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs by title: known ones stay, new ones follow in order."""
+    orders = tables.load(spark, d, "orders")
+    titles = orders.select(F.col("o_orderpriority").alias("title")).distinct()
+    old = titles.where("title < '3'").select(F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("title")).cast("long").alias("id"), "title", F.col("title").alias("source_json"))
+    new = titles.unionByName(orders.select(F.col("o_orderstatus").alias("title"))).select("title", F.lit("{}").alias("source_json"))
+    return changes.ensure_new(old, new, "title").select("id", "title")
+
+
+@_query(
+    """SELECT c.id, CASE WHEN c.id % 3 = 0 THEN 'new ' || c.name ELSE c.name END AS name, c.nationality, coalesce(w.n, 0) AS n_work, coalesce(w.x, '') AS first_company FROM candidates c LEFT JOIN
+    (SELECT candidate_id, count(*) AS n, min(company_name) AS x FROM (SELECT candidate_id, company_name FROM work WHERE candidate_id % 3 <> 0
+      UNION ALL SELECT id, 'New ' || code FROM candidates WHERE id % 3 = 0) GROUP BY 1) w ON w.candidate_id = c.id"""
+)
+def replaced_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the candidates read anew: some columns and all their work rows replaced."""
+    people = tables.candidates(spark, d)
+    again = people.where("id % 3 = 0").withColumn("name", F.concat(F.lit("new "), "name"))
+    work = tables.work(spark, d).select("candidate_id", "company_name")
+    fresh = again.select(F.col("id").alias("candidate_id"), F.concat(F.lit("New "), "code").alias("company_name"))
+    parent, children = changes.replace_candidates(people, {"work": work}, again, {"work": fresh}, ["name"])
+    counts = children["work"].groupBy("candidate_id").agg(F.count("*").alias("n"), F.min("company_name").alias("x")).withColumnRenamed("candidate_id", "id")
+    return parent.join(counts, "id", "left").select("id", "name", "nationality", F.coalesce("n", F.lit(0)).alias("n_work"), F.coalesce("x", F.lit("")).alias("first_company"))
+
+
+@_query(
+    """, gone AS (SELECT id FROM candidates WHERE id % 4 = 1)
+    SELECT 'candidates' AS t, count(*) AS n, sum(id) AS s FROM candidates WHERE id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'work', count(*), sum(id) FROM work WHERE candidate_id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'matches', count(*), sum(id) FROM matches WHERE candidate_id NOT IN (SELECT id FROM gone)"""
+)
+def cascade_deleted(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates deleted with their rows in other tables."""
+    people = tables.candidates(spark, d)
+    parent, rest = changes.cascade_delete(people.where("id % 4 = 1"), people, {"work": tables.work(spark, d), "matches": tables.matches(spark, d)})
+    sums = [t.agg(F.lit(n).alias("t"), F.count("*").alias("n"), F.sum("id").cast("decimal(38,0)").alias("s")) for n, t in {"candidates": parent, **rest}.items()]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2])
+
+
+_DAMAGED = """damaged AS (SELECT id, CASE WHEN id % 5 = 0 THEN '' WHEN id % 5 = 1 THEN name || '|' WHEN id % 5 = 2 THEN name || ' 英文名字' ELSE name END AS name,
+    CASE WHEN id % 3 = 0 THEN '' ELSE code END AS code, name AS right_name, code AS right_code FROM candidates)"""
+
+
+def _damaged(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with damaged names and codes beside their texts."""
+    five, three = F.pmod("candidate_id", F.lit(5)), F.pmod("candidate_id", F.lit(3))
+    name = F.when(five == 0, "").when(five == 1, F.concat("name", F.lit("|"))).when(five == 2, F.concat("name", F.lit(" 英文名字"))).otherwise(F.col("name"))
+    people = tables.candidates(spark, d).select(F.col("id").alias("candidate_id"), "name", "code").join(rendering.rendered(spark, d), "candidate_id")
+    return people.select(F.col("candidate_id").alias("id"), name.alias("name"), F.when(three == 0, "").otherwise(F.col("code")).alias("code"), F.col("markdown").alias("raw_markdown"))
+
+
+@_query(f", {_DAMAGED} SELECT id FROM damaged WHERE name = '' OR contains(name, '英文名字') OR contains(name, '|') OR code = ''")
+def broken_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return changes.find_broken(_damaged(spark, d), list(labels.ENGLISH_NAME)).select("id")
+
+
+@_query(
+    f""", {_DAMAGED} SELECT id, 'repaired' AS status, CASE WHEN name <> right_name THEN right_name END AS new_name, CASE WHEN code = '' THEN right_code END AS new_code
+    FROM damaged WHERE name <> right_name OR code = ''"""
+)
+def repaired_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Broken rows read again from their texts, and what changes."""
+    report, _ = changes.repair(_damaged(spark, d), list(labels.ENGLISH_NAME))
+    return report.select("id", "status", "new_name", "new_code")
+
+
+@_query(f", {_DAMAGED} SELECT 'repaired' AS status, count(*) FILTER (name <> right_name OR code = '') AS n FROM damaged UNION ALL SELECT 'skip', 0 UNION ALL SELECT 'error', 0 UNION ALL SELECT 'still_empty_name', count(*) FILTER (name = '') FROM damaged")
+def repair_counts(spark: SparkSession, d: str) -> DataFrame:
+    people = _damaged(spark, d)
+    report, _ = changes.repair(people, list(labels.ENGLISH_NAME))
+    return changes.repair_summary(report, people)
+
+
+@_query(
+    """SELECT c.id AS candidate_id, CAST(r.r_regionkey AS BIGINT) AS job_id, c.name, r.r_name AS job, c.nationality FROM candidates c JOIN nation n ON n.n_name = c.nationality
+    JOIN region r ON r.r_regionkey = n.n_regionkey"""
+)
+def match_requests(spark: SparkSession, d: str) -> DataFrame:
+    """A request for each candidate and the job of their region, read back."""
+    jobs = tables.load(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.concat(F.lit('{"t":"'), "r_name", F.lit('"}')).alias("source_json"))
+    nation = tables.load(spark, d, "nation").select(F.col("n_name").alias("nationality"), F.col("n_regionkey").cast("long").alias("job_id"))
+    people = tables.candidates(spark, d)
+    wanted = people.join(nation, "nationality").select(F.col("id").alias("candidate_id"), "job_id")
+    found = matching.match_requests(people, jobs, wanted)
+    part = lambda key: F.regexp_extract("request", rf'"{key}":"([^"]*)"', 1)
+    return found.select("candidate_id", "job_id", part("name").alias("name"), part("t").alias("job"), part("nationality").alias("nationality"))
+
+
+@_query(
+    r"""SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 3996 THEN left(text, 3996) || chr(10) || chr(10) || '[... truncated ...]' ELSE coalesce(text, '') END AS request FROM documents"""
+)
+def truncated_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts cut to a model's budget, which is the feature."""
+    return matching.extraction_requests(tables.load(spark, d, "documents"), "doc_id", "text")
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies made from orders: fenced, plain, broken, and one with a field of another type."""
+    body = F.concat(F.lit('{"overall_score": '), (F.col("o_orderkey") % 100).cast("string"), F.lit(', "analysis_text": "'), "o_orderpriority", F.lit('", "gaps": ["a", "'), "o_orderstatus", F.lit('"], "more": 1}'))
+    four = F.pmod("o_orderkey", F.lit(4))
+    reply = F.when(four == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(four == 1, body).when(four == 2, F.substring(body, 1, 30)).otherwise(F.replace(body, F.lit('["a"'), F.lit("[7")))
+    return tables.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), reply.alias("reply"))
+
+
+@_query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_orderkey % 100 AS DOUBLE) END AS overall_score, CASE WHEN o_orderkey % 4 < 2 THEN o_orderpriority END AS analysis_text,
+    CASE WHEN o_orderkey % 4 < 2 THEN 'a,' || o_orderstatus END AS gaps, CASE o_orderkey % 4 WHEN 2 THEN 'json' WHEN 3 THEN 'gaps' END AS fault FROM orders"""
+)
+def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies read as scores; bad ones are rejects with what is wrong."""
+    good, bad = matching.parse_match_replies(_replies(spark, d), ["id"])
+    good = good.select("id", "overall_score", "analysis_text", F.array_join("gaps", ",").alias("gaps"), F.lit(None).cast("string").alias("fault"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return good.unionByName(bad.select("id", none("double").alias("overall_score"), none("string").alias("analysis_text"), none("string").alias("gaps"), "fault"))
+
+
+@_query("SELECT o_orderkey AS id, abs(o_totalprice / 5000 - 50) < 20 AS near FROM orders")
+def weighted_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The overall score that three equal scores should give, against fifty."""
+    score = F.col("o_totalprice") / 5000
+    return tables.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.abs(F.round(matching.weighted_overall(score, score, score), 9) - 50) < 20).alias("near"))
+
+
+@_query(
+    """SELECT id, CASE WHEN id % 5 IN (0, 1) THEN name END AS name, CASE WHEN id % 5 IN (0, 1) THEN 'a,' || nationality END AS tags,
+    CASE id % 5 WHEN 2 THEN 'name' WHEN 3 THEN 'record' WHEN 4 THEN 'work_experiences' END AS fault FROM candidates"""
+)
+def imported_records(spark: SparkSession, d: str) -> DataFrame:
+    """JSON records, bare and wrapped, with wrong types among them: valid ones and rejects."""
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    body = F.concat(F.lit('{"name": '), quoted("name"), F.lit(', "skill_tags": ["a", '), quoted("nationality"), F.lit('], "work_experiences": [{"seq": 1, "company_name": "x"}], "unknown": 1}'))
+    five = F.pmod("id", F.lit(5))
+    raw = (
+        F.when(five == 0, body)
+        .when(five == 1, F.concat(F.lit('{"extract": '), body, F.lit("}")))
+        .when(five == 2, F.concat(F.lit('{"name": '), F.col("id").cast("string"), F.lit("}")))
+        .when(five == 3, F.concat(F.lit("["), body, F.lit("]")))
+        .otherwise(F.lit('{"work_experiences": [{"seq": "one"}]}'))
     )
+    rows = tables.candidates(spark, d).select("id", raw.alias("raw"))
+    good, bad = storage.import_records(rows, keep=["id"])
+    none = F.lit(None).cast("string")
+    return good.select("id", "name", F.array_join("skill_tags", ",").alias("tags"), none.alias("fault")).unionByName(bad.select("id", none.alias("name"), none.alias("tags"), "fault"))
+
+
+_LINES = """lines AS (SELECT l_orderkey AS doc_id, l_returnflag, l_linestatus,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus) AS n FROM lineitem)"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
+    return tables.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_returnflag", "l_linestatus", F.row_number().over(order).alias("n"))
+
+
+@_query(
+    f""", {_LINES} SELECT doc_id, CASE WHEN n % 2 = 1 THEN 'page' || CAST(doc_id % 3 AS VARCHAR) || '-' || CAST((n + 1) // 2 AS VARCHAR) ELSE 's' || CAST(n AS VARCHAR) END AS name,
+    l_returnflag || ' text' AS content FROM lines UNION ALL SELECT DISTINCT doc_id, 'header', 'Head' FROM lines"""
+)
+def ordered_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with marks of pages and places, cut into named chunks."""
+    odd = F.pmod("n", F.lit(2)) == 1
+    mark = F.when(odd, F.concat(F.lit("page"), F.pmod("doc_id", F.lit(3)).cast("string"))).otherwise(F.concat(F.lit("s"), F.col("n").cast("string")))
+    line = F.concat(F.lit('<span id="'), mark, F.lit('"></span>'), "l_returnflag", F.lit(" text\n"))
+    texts = _lines(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("x")))).alias("x"))
+    whole = texts.select("doc_id", F.concat(F.lit("Head\n"), F.array_join(F.transform("x", lambda x: x["x"]), "")).alias("text"))
+    return chunks.ordered_chunks(whole).select("doc_id", "name", "content")
+
+
+@_query(f""", {_LINES} SELECT doc_id, CAST(n AS INTEGER) AS chunk, 'h2_' || l_returnflag AS name, '## ' || l_returnflag || chr(10) || chr(10) || l_linestatus AS content FROM lines""")
+def heading_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs under headings, one chunk for each heading."""
+    items = F.array(F.struct(F.lit("Heading 2").alias("style"), F.col("l_returnflag").alias("text")), F.struct(F.lit("Normal").alias("style"), F.col("l_linestatus").alias("text")))
+    rows = _lines(spark, d).select("doc_id", "n", F.posexplode(items).alias("k", "p"))
+    paragraphs = rows.select("doc_id", (F.col("n") * 2 + F.col("k")).alias("pos"), "p.style", "p.text", F.lit(None).cast("string").alias("image"))
+    return chunks.heading_chunks(paragraphs).select("doc_id", "chunk", "name", "content")
+
+
+@_query(
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/out/a/' WHEN 1 THEN '/out/' WHEN 2 THEN '/output/else/' ELSE '/output/' END || 'p' || CAST(page_id AS VARCHAR) || '.png' AS photo_url FROM pages"""
+)
+def resolved_photos(spark: SparkSession, d: str) -> DataFrame:
+    """Photos found in the text's folder, its parent, anywhere, or not at all."""
+    pages = tables.load(spark, d, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".png")).alias("photo_path"), F.lit("out/a/t.md").alias("source_md_path"))
+    four = F.pmod("page_id", F.lit(4))
+    folder = F.when(four == 0, "out/a/").when(four == 1, "out/").when(four == 2, "output/else/")
+    listing = pages.select(F.concat(folder, "photo_path").alias("path")).where("path is not null")
+    return storage.resolve_photo(pages, listing).select("page_id", "photo_url")
+
+
+@_query(
+    """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'data/f' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 3 = 0 THEN '.docx' ELSE '.pdf' END ELSE '' END AS source FROM pages"""
+)
+def guessed_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The source file beside each text, the first by name."""
+    name = F.concat(F.lit("f"), F.col("page_id").cast("string"))
+    pages = tables.load(spark, d, "pages").select("page_id", F.concat(F.lit("out/"), name, F.lit("_original.md")).alias("path"))
+    endings = F.when(F.pmod("page_id", F.lit(3)) == 0, F.array(F.lit(".pdf"), F.lit(".docx"))).otherwise(F.array(F.lit(".pdf")))
+    files = tables.load(spark, d, "pages").where("page_id % 2 = 0").select(F.explode(endings).alias("e"), name.alias("n")).select(F.concat(F.lit("data/"), "n", "e").alias("path"))
+    return storage.guess_source(pages, files).select("page_id", F.col("source_pdf_path").alias("source"))
+
+
+@_query("SELECT 'ok' AS status, count(*) AS n, CAST(count(*) * (count(*) + 1) // 2 AS HUGEINT) AS ids, (SELECT count(*) FROM work) AS n_work FROM candidates")
+def batch_imported(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of ten people each, split, parsed and stored; what the stored tables then hold."""
+    folder = tables.scratch(spark)
+    people = rendering.rendered(spark, d).select("candidate_id", "markdown", F.floor(F.col("candidate_id") / 10).cast("string").alias("path"))
+    files = people.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", "markdown"))), lambda x: x["markdown"]), "\n").alias("text"))
+    counts = storage.batch_import(files, folder)
+    stored, work = storage.stored_table(spark, folder, "candidates"), storage.stored_table(spark, folder, "work_experiences")
+    ids = stored.agg(F.sum("id").cast("decimal(38,0)").alias("ids"))
+    return counts.join(F.broadcast(ids)).join(F.broadcast(work.agg(F.count("*").alias("n_work"))))
