@@ -18,16 +18,19 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of remembered pieces, by their lengths and what each takes besides, in one generation.
-REMEMBERED, EACH = 64_000_000, 120
+REMEMBERED, EACH = 50_000_000, 120
 
 #: The mark that stands for a space in sentencepiece vocabularies (fixed value).
 SPACE = "▁"
 
-#: Marks at the end of a word, after a letter that stays one in lower case: pre-tokenizers part them from it.
-MARKS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,;:!?]+\Z")
+#: Letters that stay one letter in lower case. Pre-tokenizers part a mark from the letter before it.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+WORD = rf"[{LETTERS}]++(?=[\s.,;:!?]|\Z)"
+PLAIN = re.compile(f" ?[{LETTERS}]+").fullmatch
 
 #: White space as the libraries see it: Python's, without four control characters.
 WHITE, INK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+CONTROLS, BEYOND = re.compile("[\x1c-\x1f]").search, re.compile("[^\x00-\xff]").search
 
 
 def vocabulary(name: str) -> str:
@@ -63,10 +66,23 @@ class Memory(dict):
         return value
 
 
-def little(ids: list[int] | bytes) -> bytes:
+def _signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies show each byte as: itself where it prints, else the next after 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+SIGNS = _signs()
+
+
+def as_signs(word: str) -> str:
+    """A word's UTF-8 bytes as the signs that stand for them."""
+    return word.encode().decode("latin-1").translate(SIGNS)
+
+
+def little(ids: list[int]) -> bytes:
     """Little-endian unsigned 16-bit integers."""
-    if isinstance(ids, bytes):
-        return ids
     found = array("H", ids)
     if sys.byteorder == "big":
         found.byteswap()
@@ -98,21 +114,28 @@ class Encoder:
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
-            self.split = re.compile(f"{WHITE}*{INK}+|{WHITE}+").findall
-            self.ready = lambda text: text
             whole = lambda piece: model.encode(piece, add_special_tokens=False).ids
-            # Where neither white space nor case matters, plain words that differ in them only are one.
-            plain = whole("a") == whole(" a") == whole("\nA")
-
-            def ids(piece: str) -> list[int] | bytes:
-                marks = MARKS.search(piece)
-                if marks:
-                    return self.ids[piece[: marks.start()]] + self.ids[marks.group()]
-                word = piece.lstrip(" \n").lower()
-                if plain and word != piece and word.isascii() and word.isalpha():
-                    return self.ids[word]
+            merge = model.model.tokenize
+            exact = re.compile(f"{WHITE}*{INK}+|{WHITE}+").findall
+            bytewise = whole(" é") in ([t.id for t in merge(as_signs(" é"))], whole("é"))
+            # Where neither white space nor case matters, they are dropped before words are told apart.
+            folded = bytewise and whole("a") == whole(" a") == whole("\nA")
+            fast = re.compile(f"{WORD}|\\S+" if folded else rf"\s*{WORD}|\s*\S+|\s+").findall
+
+            def split(text: str) -> list[str]:
+                if not bytewise or CONTROLS(text):
+                    return exact(text)
+                if not folded:
+                    return fast(text)
+                # Special strings are told apart by case, and beyond Latin-1 lower cases differ.
+                return exact(text) if "<|" in text or BEYOND(text) else fast(text.lower())
+
+            def ids(piece: str) -> list[int]:
+                if bytewise and PLAIN(piece) and not (folded and piece != piece.strip().lower()):
+                    return [t.id for t in merge(as_signs(piece))]
                 return whole(piece)
 
+            self.split, self.ready = split, lambda text: text
             size = model.get_vocab_size(with_added_tokens=True)
             self.is_byte = np.zeros(size, dtype=bool)
         if size > 65_536:

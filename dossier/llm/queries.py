@@ -39,8 +39,8 @@ def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .idfiles import id_files_path, read_id_files, write_id_files
 
     path = id_files_path(spark)
-    dictionary = write_id_files(_table(spark, sf_dir, "documents"), path)
-    return read_id_files(spark, path, dictionary)
+    write_id_files(_table(spark, sf_dir, "documents"), path)
+    return read_id_files(spark, path)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
