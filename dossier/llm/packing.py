@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import slices
-from .encoders import Encoder, vocabulary
+from .encoders import encoder, vocabulary
 from .mixing import mix_sources
 from .store import input_partitions, written
 
 #: Items that one task packs at once, at most about.
 LOCAL_ITEMS = 100_000
-#: Underfull bins that a task hands to the next round at most, and tasks merged into one there.
-HANDED_ON, MERGED = 64, 16
+#: Tasks whose underfull bins meet in one task of the next round. Rounds of as many
+#: tasks as before end once one joins less than this share of its bins.
+MERGED, GAIN = 16, 0.01
 #: Slots of a mixture that are packed together.
 RANGE_SLOTS = 64
 
@@ -73,7 +74,7 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int
     schema = T.StructType(PIECES.fields + [df.schema[c] for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         serial = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -100,15 +101,15 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int
     return rows.mapInArrow(run, schema)
 
 
-def pack_items(items: DataFrame, capacity: int, nearly: int = 8) -> DataFrame:
+def pack_items(items: DataFrame, capacity: int, nearly: int = 8, local_items: int = LOCAL_ITEMS) -> DataFrame:
     """Items (uid, size) into bins: uid, bin (the uid of one of its items), offset.
 
     Rounds: tasks pack their items best-fit. A bin with at most ``nearly`` free
-    places, or too full for the smallest bin anywhere, stays as it is. The
-    HANDED_ON emptiest of the others become items, and MERGED tasks' bins meet
-    in one task of the next round, until one task is left. A best-fit task has
-    at most one bin that is no more than half full, so few bins of a task can
-    gain by meeting another's, and what a task gets stays bounded.
+    places, or too full for the smallest bin anywhere, stays as it is. All
+    others are the items of the next round, in which MERGED tasks' bins meet in
+    one task, until one task is left. No task gets more than about
+    ``local_items``: where so many bins stay underfull that tasks can't become
+    fewer, they are dealt out anew, as long as that joins some.
     """
     result = T.StructType(
         [
@@ -116,39 +117,37 @@ def pack_items(items: DataFrame, capacity: int, nearly: int = 8) -> DataFrame:
             T.StructField("bin", T.LongType()),
             T.StructField("offset", T.LongType()),
             T.StructField("fill", T.LongType()),
-            T.StructField("open", T.BooleanType()),
-            T.StructField("task", T.LongType()),
         ]
     )
 
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("uid")
         uids, sizes = group["uid"].tolist(), group["size"].tolist()
         out = []
-        bins = [(b, sum(sizes[i] for i in b)) for b in best_fit(sizes, capacity)]
-        least = min(fill for _, fill in bins)
-        handed = sorted((k for k, (_, fill) in enumerate(bins) if fill < capacity - nearly), key=lambda k: (bins[k][1], k))
-        handed = set(handed[:HANDED_ON]) if least <= capacity // 2 or len(bins) > 1 else set(handed)
-        for k, (members, fill) in enumerate(bins):
-            at = 0
+        for members in best_fit(sizes, capacity):
+            fill, at = sum(sizes[i] for i in members), 0
             for i in members:
-                out.append((uids[i], uids[members[0]], at, fill, k in handed, key[0]))
+                out.append((uids[i], uids[members[0]], at, fill))
                 at += sizes[i]
         return pd.DataFrame(out, columns=result.names)
 
     count = items.count()
-    tasks = max(1, min(input_partitions(items), math.ceil(count / 64)), math.ceil(count / LOCAL_ITEMS))
-    level = items.withColumn("task", F.pmod(F.xxhash64("uid"), F.lit(tasks)))
-    levels = []
+    tasks = max(1, min(input_partitions(items), math.ceil(count / 64)), math.ceil(count / local_items))
+    level, levels = items.select("uid", "size"), []
     while True:
-        packed = written(level.groupBy("task").applyInPandas(pack, result), "packed")
+        dealt = F.pmod(F.xxhash64("uid", F.lit(len(levels))), F.lit(tasks)).alias("task")
+        packed = written(level.select("uid", "size", dealt).groupBy("task").applyInPandas(pack, result), "packed")
         levels.append(packed)
         if tasks == 1:
             break
-        tasks = math.ceil(tasks / MERGED)
-        level = packed.where("open and uid = bin").select(
-            F.col("bin").alias("uid"), F.col("fill").alias("size"), F.floor(F.col("task") / F.lit(MERGED)).alias("task")
-        )
+        bins = packed.where(F.col("uid") == F.col("bin")).where(F.col("fill") < capacity - nearly)
+        least = bins.agg(F.min("fill")).first()[0] or capacity
+        level = bins.where(F.col("fill") + least <= capacity).select("uid", F.col("fill").alias("size"))
+        left = level.count()
+        fewer = max(math.ceil(tasks / MERGED), math.ceil(left / local_items))
+        if left < 2 or fewer >= tasks and left > (1 - GAIN) * count:
+            break
+        tasks, count = fewer, left
     placed = levels[0].select("uid", "bin", "offset")
     for packed in levels[1:]:
         moved = packed.select(F.col("uid").alias("bin"), F.col("bin").alias("into"), F.col("offset").alias("by"))
