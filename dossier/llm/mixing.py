@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks in one scheduling cycle; weights are rounded to multiples of 1 / CYCLE.
-CYCLE = 1000
+#: Blocks in one scheduling cycle, at least, and for each source; weights are rounded to that part.
+CYCLE, EACH = 1000, 16
 
 #: Earliest deadline first over one cycle. Block k of a source with p of q blocks
 #: is released at floor(k q / p) and due at ceil((k + 1) q / p); in each slot the
@@ -53,21 +53,23 @@ def mix_sources(
     ``weights`` names targets by source; sources not named get none of the
     cycle but one block, so their rows still appear. Without it a source of n
     rows has the target n to the ``power``. Weights are rounded to ``cycle``
-    parts, one at least.
+    parts, or EACH for each source where those are more, one at least.
 
     Rows of a source come in an order fixed by a hash of the id. Ranks are
     counted in buckets of (source, hash), then buckets are summed, so a source
     with a third of all rows is spread over as many tasks as any other rows.
-    Only tables of one row for each source, and for each source and slot of a
-    cycle, are broadcast: sources x sources x cycle entries at most, so up to a
-    few hundred sources.
+    Tables of one row for each source are broadcast; that of the slots of a
+    cycle, for each set of sources left, only where Spark finds it small. One
+    cycle is scheduled in one task, at a cost of its slots times the sources,
+    so sources may be a few hundred.
 
     A null source is a source of its own. Rows with equal ids stay apart rows.
-    An empty table gives an empty one.
+    An empty table gives an empty one. Columns in ``keep`` that have the name of
+    an output column are replaced by it; any other names are safe.
     """
-    keep = [c for c in (keep or []) if c not in (id_col, source_col)]
-    made = {"block", "slot", "place", "weight"}
-    keep = [c for c in keep if c not in made]
+    made = {id_col, source_col, "block", "slot", "place", "weight"}
+    keep = [c for c in (keep or []) if c not in made]
+    kept = [F.struct(*keep).alias("_kept")] if keep else []
     buckets = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # A null source gets a name that no string has once others carry a prefix.
     name = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
@@ -76,7 +78,7 @@ def mix_sources(
         F.col(source_col).alias("_source"),
         name.alias("_name"),
         F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(buckets)).cast("int").alias("_bucket"),
-        *keep,
+        *kept,
     )
 
     counted = df.select(name.alias("_name"), F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(buckets)).cast("int").alias("_bucket"))
@@ -91,8 +93,9 @@ def mix_sources(
     else:
         target = F.pow(F.col("n").cast("double"), F.lit(float(power)))
     everything = Window.partitionBy(F.lit(0))
+    scale = F.greatest(F.lit(cycle), F.lit(EACH) * F.count("*").over(everything))
     sources = sources.withColumn("target", target).withColumn(
-        "p", F.greatest(F.lit(1), F.round(F.lit(float(cycle)) * F.col("target") / F.sum("target").over(everything)).cast("int"))
+        "p", F.greatest(F.lit(1), F.round(scale.cast("double") * F.col("target") / F.sum("target").over(everything)).cast("int"))
     )
     # Blocks of a source fill p slots of each cycle, and so it lasts this many cycles.
     blocks = F.ceil(F.col("n") / F.lit(block_rows))
@@ -135,10 +138,10 @@ def mix_sources(
     since = phases.select("since", "until")
     ranked = ranked.join(F.broadcast(since), (F.col("_cycle") >= F.col("since")) & (F.col("_cycle") < F.col("until"))).drop("until")
     slot = F.col("first_slot") + (F.col("_cycle") - F.col("since")) * F.col("q") + F.col("at")
-    return ranked.join(F.broadcast(picks.drop("until")), ["_name", "_k", "since"]).select(
+    return ranked.join(picks.drop("until"), ["_name", "_k", "since"]).select(
         F.col("_id").alias(id_col),
         F.col("_source").alias(source_col),
-        *keep,
+        *[F.col("_kept")[c].alias(c) for c in keep],
         F.col("block").cast("long"),
         slot.cast("long").alias("slot"),
         "place",
