@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 
 from .batches import map_texts
 
-#: Lines in a sliding window.
+#: Lines in a sliding window; lines are blocks of the page, or empty where blocks end without text.
 WINDOW = 3
+#: Text in a window surges where it reaches this share of the page's typical line, and dives below it.
+SURGE = 0.25
+#: What ends a sentence: a line of plain sentences far from the large text may belong to it.
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$").search
 
 #: Comments, elements whose content is not text, and tags; the rest is text.
 MARKUP = re.compile(
@@ -53,25 +57,38 @@ def page_lines(page: str, parts_count: bool = True, reopened: bool = False) -> l
     the less an article; inside elements that are never around one it isn't.
 
     Markup is stripped; every element that is not inline ends a line. White
-    space inside a line becomes one space.
+    space inside a line becomes one space. Where an element ends without text
+    the line is empty. Time is in proportion to the page.
     """
     lines: list[tuple[str, bool, bool, float]] = []
     parts: list[str] = []
-    opened: list[tuple[str, bool, bool, bool]] = []  # name, beside, main, beside by its name
+    # Open elements; where those of each name, those around no article by their kind or name, and articles are.
+    depth, names, off, named_off, mains = 0, {}, [], [], []
     words = ASIDE_PARTS if parts_count else ASIDE_WORDS
 
     def state() -> tuple[bool, bool]:
-        since = max((k for k, x in enumerate(opened) if x[2]), default=0) if reopened else 0
-        return any(x[1] or x[3] and k >= since for k, x in enumerate(opened)), any(x[2] for x in opened)
-
+        since = mains[-1] if reopened and mains else 0
+        return bool(off) or bool(named_off) and named_off[-1] >= since, bool(mains)
+
+    def closed_from(k: int) -> None:
+        """Elements from the k-th on are closed."""
+        nonlocal depth
+        for stack in (off, named_off, mains, *[names[n] for n in set(order[k:])]):
+            while stack and stack[-1] >= k:
+                stack.pop()
+        del order[k:]
+        depth = k
+
+    order: list[str] = []
     beside, inside, in_link, linked = False, False, False, 0
 
     def close_line() -> None:
         nonlocal in_link, linked
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
-        if text:
-            lines.append((text, beside, inside, min(1.0, linked / len(text))))
+        # More empty lines than a window has tell nothing more.
+        if text or any(x[0] for x in lines[-WINDOW:]):
+            lines.append((text, beside, inside, min(1.0, linked / len(text)) if text else 0.0))
         in_link, linked = False, 0
 
     at = 0
@@ -89,55 +106,63 @@ def page_lines(page: str, parts_count: bool = True, reopened: bool = False) -> l
             continue
         close_line()
         if named.group(1):
-            for k in range(len(opened) - 1, -1, -1):
-                if opened[k][0] == name:
-                    del opened[k:]
-                    break
+            if names.get(name):
+                closed_from(names[name][-1])
         elif name not in VOID and not tag.endswith("/>"):
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and opened and opened[-1][0] == name:
-                opened.pop()  # their end tags may be left out
+            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and order and order[-1] == name:
+                closed_from(depth - 1)  # their end tags may be left out
             hints = " ".join("".join(x) for x in HINT.findall(tag))
-            named_so = bool(hints and name not in MAIN and name not in ("body", "html") and words.search(hints))
-            off = name in ASIDE or (name == HEADER and not any(x[2] for x in opened))
-            opened.append((name, off, name in MAIN, named_so))
+            if hints and name not in MAIN and name not in ("body", "html") and words.search(hints):
+                named_off.append(depth)
+            if name in ASIDE or (name == HEADER and not mains):
+                off.append(depth)
+            if name in MAIN:
+                mains.append(depth)
+            names.setdefault(name, []).append(depth)
+            order.append(name)
+            depth += 1
         beside, inside = state()
     parts.append(page[at:])
     close_line()
     return lines
 
 
-def line_blocks(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+def line_blocks(weights: list[float], least: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Runs of lines between surge and dive points.
 
-    The text in a window of lines is summed from each line on. It surges where
-    it rises from nothing and dives where it falls back to nothing; the lines
-    with text between the two are a block.
+    Weights are summed over ``window`` lines from each line on. The sum surges
+    where it reaches ``least`` and dives where it falls below; the lines of the
+    windows between the two are a run.
     """
-    n = len(lengths)
-    padded = [0] * (window - 1) + lengths + [0] * window
-    total, blocks, start = sum(padded[:window]), [], None
-    for k in range(n + window):
-        # ``total`` is the text in lines k - window + 1 to k.
-        if total and start is None:
-            start = k
-        elif not total and start is not None:
-            blocks.append((start, k - window + 1))
-            start = None
-        if k + window < len(padded):
-            total += padded[k + window] - padded[k]
-    if start is not None:
-        blocks.append((start, n))
-    return blocks
-
-
-def main_text(page: str | None, share: float = 0.2) -> str:
+    sums, total = [], 0.0
+    padded = [0.0] * (window - 1) + list(weights) + [0.0] * (window - 1)
+    for k, w in enumerate(padded):
+        total += w - (padded[k - window] if k >= window else 0.0)
+        if k >= window - 1:
+            sums.append(total)  # of the window that ends with the k-th padded line
+    runs: list[tuple[int, int]] = []
+    for k, total in enumerate(sums):
+        if total >= least - 1e-9 and total > 0:
+            a, b = max(0, k - window + 1), min(len(weights), k + 1)
+            if runs and a <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], b)
+            else:
+                runs.append((a, b))
+    return runs
+
+
+def main_text(page: str | None) -> str:
     """Lines of the article joined by newlines; "" for a page without one.
 
-    Lines beside the article count as empty, and so many empty lines are put
-    in their place that a window sees nothing. Where the page marks an article
-    and it holds text, lines outside it count as beside it; all its blocks are
-    kept. Elsewhere blocks with ``share`` of the largest block's text are kept,
-    and smaller ones unless most of their text is links.
+    A line weighs what it has of text outside links. Windows of lines sum these
+    weights; the sums surge and dive at a share of the page's typical line, the
+    mean in which each line counts by its weight. Of the lines between, those
+    that are mostly links are left out. A line elsewhere is kept if it ends like
+    a sentence and is no link.
+
+    Tags change weights: lines beside the article weigh nothing, and where the
+    page marks an article that holds text, its lines reach the threshold by
+    themselves, so all are kept, and all others weigh nothing.
 
     Parts of class names only count where most of the page isn't lost by them,
     and an article inside an element named as if beside it is taken where it
@@ -152,24 +177,22 @@ def main_text(page: str | None, share: float = 0.2) -> str:
         others = page_lines(page, parts_count=False)
         if size(plain(others)) > 2 * size(plain(lines)):
             lines = others
-    if not any(x[2] for x in plain(lines)) and any(x[2] for x in lines):
+    if not any(x[2] and x[0] for x in plain(lines)) and any(x[2] for x in lines):
         others = page_lines(page, parts_count=False, reopened=True)
         if size(x for x in plain(others) if x[2]) > size(plain(lines)):
             lines = others
-    marked = any(x[2] for x in plain(lines))
-    texts: list[str] = []
-    links: list[float] = []
-    for text, beside, inside, linked in lines:
-        out = beside or (marked and not inside)
-        texts.extend([""] * WINDOW if out else [text])
-        links.extend([0.0] * WINDOW if out else [linked * len(text)])
-    blocks = line_blocks([len(t) for t in texts])
-    sizes = [sum(len(t) for t in texts[a:b]) for a, b in blocks]
-    most = max(sizes, default=0)
-    kept = [
-        (a, b) for (a, b), n in zip(blocks, sizes, strict=True) if marked or n >= share * most or 2 * sum(links[a:b]) < n
-    ]
-    return "\n".join(t for a, b in kept for t in texts[a:b] if t)
+    if any(x[2] and x[0] for x in plain(lines)):
+        weights = [float(bool(x[0]) and x[2] and not x[1]) for x in lines]
+        runs = line_blocks(weights, 1.0, 1)
+    else:
+        weights = [0.0 if x[1] else len(x[0]) * (1 - x[3]) for x in lines]
+        typical = sum(w * w for w in weights) / (sum(weights) or 1.0)
+        runs = line_blocks(weights, SURGE * typical)
+        weights = [w if 2 * w > len(x[0]) else 0.0 for w, x in zip(weights, lines, strict=True)]
+        alone = [(k, k + 1) for k, x in enumerate(lines) if weights[k] and x[3] == 0 and SENTENCE(x[0])]
+        runs = sorted({k for a, b in runs + alone for k in range(a, b)})
+        runs = [(k, k + 1) for k in runs]
+    return "\n".join(lines[k][0] for a, b in runs for k in range(a, b) if weights[k])
 
 
 def extract_main_text(
@@ -178,8 +201,9 @@ def extract_main_text(
     """``id_col``, ``url_col``, text and n_chars (code points) of each page.
 
     A null or empty page has the text "". Broken markup never fails: what opens
-    and doesn't close ends with the page. Each row is read by itself, whole;
-    repeated rows give equal rows, and nothing is shuffled.
+    and doesn't close ends with the page. Each row is read by itself, whole,
+    however long; repeated rows and ids give a row each, an empty table an
+    empty one, and nothing is shuffled.
     """
 
     def make():

@@ -229,3 +229,46 @@ def test_pages_of_other_templates():
     assert main_text(f"<body><div>{long}</div><div class=comments><article>{short}</article></div>") == long.strip()
     for head in ("<head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>", "<head><title>T</title></head><body>"):
         assert main_text(f"<html>{head}<article><p>{short}</p></article>") == short
+
+
+def test_surge_and_dive_equal_window_sums():
+    import random
+
+    from dossier.llm.mainpart import line_blocks
+
+    rng = random.Random(2)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 5, 40, 200]) for _ in range(rng.randint(0, 30))]
+        window, least = rng.randint(1, 5), rng.choice([1, 50, 210])
+        inside = set()
+        for k in range(1 - window, len(weights)):
+            lines = range(max(0, k), min(len(weights), k + window))
+            if sum(weights[j] for j in lines) >= least:
+                inside |= set(lines)
+        assert {j for a, b in line_blocks(weights, least, window) for j in range(a, b)} == inside
+
+
+def test_pages_without_any_hint():
+    from dossier.llm.mainpart import main_text
+
+    menu = "<div><ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/s>Sport</a></ul></div>" * 3
+    plain_menu = "<div><div>Home</div><div>News</div><div>Sport</div></div><div></div><div></div>"
+    body = "<div><h1>A title</h1><p>" + "The first paragraph goes on. " * 12 + "</p>\n<p>" + "The second has a <a href=z>link</a> in it. " * 9 + "</p><p>Short end</p></div>"
+    foot = "<div></div><div></div><div><div>Copyright 2020 Someone</div></div>"
+    want = ["A title", ("The first paragraph goes on. " * 12).strip(), ("The second has a link in it. " * 9).strip(), "Short end"]
+    for head in (menu + "<div></div><div></div>", plain_menu):
+        assert main_text(f"<html><body>{head}{body}{foot}</body></html>").split("\n") == want
+    assert main_text(f"<body>{menu}") == ""
+
+
+def test_pages_take_time_in_proportion():
+    import time
+
+    from dossier.llm.mainpart import main_text
+
+    spent = []
+    for n in (4_000, 32_000):
+        start = time.process_time()
+        main_text("<div>" * n + "x" + "</span></b></p>" * n + "<article>" + "<p>text. " * n)
+        spent.append(time.process_time() - start)
+    assert spent[1] < 24 * max(spent[0], 0.02)
