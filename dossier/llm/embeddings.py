@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from .components import connected
 from .store import input_partitions, written
 
-#: Vectors in a tile, and vectors that the axes are fitted on, at most.
-TILE, FIT = 4096, 4096
+#: Vectors in a tile, at most and by the bytes that they take in double precision, and
+#: vectors that the axes are fitted on. A tile is copied once for each tile it meets,
+#: so few large ones move less.
+TILE, TILE_BYTES, FIT = 16_384, 32_000_000, 4096
 #: Dimensions summed up before a pair is first judged, as a share of all.
 LEADING = 0.375
 #: Bounds are widened by this much against rounding.
@@ -88,7 +90,7 @@ def near_vectors(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.9,
-    tile: int = TILE,
+    tile: int | None = None,
 ) -> DataFrame:
     """``id_col``, n_links, component_id and kept of every vector, by cosine >= ``threshold``.
 
@@ -150,15 +152,20 @@ def near_vectors(
     )
 
 
-def _compare(distinct: DataFrame, dims: int, threshold: float, tile: int) -> DataFrame:
+def _compare(distinct: DataFrame, dims: int, threshold: float, tile: int | None) -> DataFrame:
     """Spanning edges (a, b) of linked representatives, and rows (a, null, links)."""
+    tile = tile or max(256, min(TILE, TILE_BYTES // (8 * dims)))
+    # Single precision moves as such; what is computed is in double.
+    kind = "<f4" if isinstance(distinct.schema["vector"].dataType.elementType, T.FloatType) else "<f8"
     sample = distinct.orderBy(F.col("key.k1")).select("vector").limit(FIT).collect()
     fit = np.array([r["vector"] for r in sample], dtype=np.float64)
+    fit /= np.abs(fit).max(axis=1, keepdims=True, initial=0)
     fit /= np.linalg.norm(fit, axis=1, keepdims=True)
     axes = principal_axes(fit)
     leading = max(1, min(dims, int(dims * LEADING)))
     first = F.array(*[F.lit(float(x)) for x in axes[:, 0]])
-    as_double = F.transform("vector", lambda x: x.cast("double"))
+    top = F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double"))))
+    as_double = F.transform("vector", lambda x: x.cast("double") / top)  # no overflow or underflow in the squares
     dot = F.aggregate(F.zip_with(as_double, first, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(as_double, F.lit(0.0), lambda s, x: s + x * x))
     placed = distinct.select("rep", "copies", "vector", (dot / norm).alias("first"))
@@ -172,14 +179,14 @@ def _compare(distinct: DataFrame, dims: int, threshold: float, tile: int) -> Dat
 
         def closed(rows: list[tuple]) -> pa.RecordBatch:
             reps, copies, vectors, at = zip(*rows, strict=True)
-            block = np.array(vectors, dtype=np.float64)
+            block = np.array(vectors, dtype=kind)
             values = [number, len(rows), min(at), max(at), np.array(reps, "<i8").tobytes(), np.array(copies, "<i8").tobytes(), block.tobytes()]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["run", "n", "low", "high", "reps", "copies", "vectors"])
 
         for batch in batches:
             flat = batch.column(2)
-            block = np.array(flat.flatten(), dtype=np.float64).reshape(-1, dims)
+            block = np.array(flat.flatten(), dtype=kind).reshape(-1, dims)
             pending += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), block, batch.column(3).to_pylist(), strict=True)
             while len(pending) >= most:
                 yield closed(pending[:most])
@@ -212,7 +219,7 @@ def _compare(distinct: DataFrame, dims: int, threshold: float, tile: int) -> Dat
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rotated(raw: list[bytes]) -> np.ndarray:
-            block = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dims)
+            block = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(-1, dims)
             block = block / np.abs(block).max(1, keepdims=True)  # no overflow in the squares
             return (block / np.linalg.norm(block, axis=1, keepdims=True)) @ axes
 

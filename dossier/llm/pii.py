@@ -88,32 +88,79 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """Valid matches of one kind as structs; starts and ends in code points."""
-    pattern = F.lit(PATTERNS[kind])
-    gaps, found = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
+#: Items of an array that are summed up one by one; longer arrays go block by block.
+BLOCK = 128
+#: Characters of a text that are cut out together.
+STRETCH = 1000
+
+
+def running(values: Column, kind: str, join, start) -> Column:
+    """Before each item, what ``join`` makes of ``start`` and all items before it.
+
+    Appending to an array copies it, so blocks are run through by themselves
+    and then moved by what stands before them.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    first = F.lit(start).cast(kind)
+
+    def scan(items: Column) -> Column:
+        return F.aggregate(
+            items,
+            F.struct(first.alias("now"), none.alias("out")),
+            lambda acc, x: F.struct(join(acc["now"], x).cast(kind).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    total = lambda items: F.aggregate(items, first, lambda acc, x: join(acc, x).cast(kind))
+    at = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / F.lit(BLOCK)).cast("int"))
+    blocks = F.transform(at, lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))
+    before = scan(F.transform(blocks, total))
+    moved = F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), before.alias("s")), lambda z: F.transform(scan(z["b"]), lambda x: join(z["s"], x).cast(kind))))
+    return F.when(F.size(values) == 0, none).when(F.size(values) <= BLOCK, scan(values)).otherwise(moved)
+
+
+def stretches(text: Column) -> Column:
+    """The text in stretches of STRETCH characters, from which ``cut`` takes parts without going through all of it."""
+    return F.when(F.length(text) <= STRETCH, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{STRETCH}}}+"), F.lit(0)))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` up to ``end`` of the text in ``parts``."""
+    low = F.floor(start / F.lit(STRETCH)).cast("int")
+    count = F.floor(end / F.lit(STRETCH)).cast("int") - low + 1
+    near = F.array_join(F.slice(parts, low + 1, count), "")
+    return F.substr(near, start - low * STRETCH + 1, F.greatest(end - start, F.lit(0)))
+
+
+def _with_spans(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with __text, its __parts and __spans: valid matches in code points, by kind, then by start.
+
+    Arrays are columns before lambdas use them: a lambda would make them anew for each item.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    at = df.select("*", text.alias("__text"), stretches(text).alias("__parts"))
+    text, kinds = F.col("__text"), list(PATTERNS)
+    no_text, no_number = (F.expr(f"cast(array() as array<{t}>)") for t in ("string", "int"))
+    has = {k: F.contains(text, F.lit(NEEDS[k])) if k in NEEDS else text.rlike(pattern_probe(k)) for k in kinds}
+    at = at.select("*", *[F.when(has[k], F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(no_text).alias(f"__m_{k}") for k in kinds])
+    gaps = {k: F.transform(F.split(text, PATTERNS[k], -1), F.length) for k in kinds}
+    at = at.select("*", *[F.when(F.size(f"__m_{k}") > 0, gaps[k]).otherwise(no_number).alias(f"__g_{k}") for k in kinds])
     # Each match begins where the gaps and matches before it end.
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match")),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("at"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    (acc["at"] + F.length(x["gap"])).alias("start"),
-                    (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("end"),
-                    x["match"].alias("match"),
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    step = lambda k: F.zip_with(F.slice(f"__g_{k}", F.lit(1), F.size(f"__m_{k}")), f"__m_{k}", lambda g, m: g + F.length(m))
+    at = at.select("*", *[step(k).alias(f"__s_{k}") for k in kinds])
+    at = at.select("*", *[running(F.col(f"__s_{k}"), "int", lambda a, b: a + b, 0).alias(f"__b_{k}") for k in kinds])
+    at = at.select("*", *[_judged(k).alias(f"__k_{k}") for k in kinds])
+    return at.select(*df.columns, "__text", "__parts", F.concat(*[f"__k_{k}" for k in kinds]).alias("__spans"))
+
+
+def _judged(kind: str) -> Column:
+    """Of the matches of one kind the valid ones, as structs with their scores."""
+    ends = F.zip_with(f"__b_{kind}", f"__s_{kind}", lambda a, b: a + b)
+    places = F.zip_with(ends, f"__m_{kind}", lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
 
     def scored(x: Column) -> Column:
         before = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substr(text, before + 1, x["end"] - before + CONTEXT_CHARS))
+        near = F.lower(cut(F.col("__parts"), before, x["end"] + CONTEXT_CHARS))
         word = F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_ADDS)).otherwise(F.lit(0.0))
         return F.struct(
             F.lit(kind).alias("kind"),
@@ -122,12 +169,8 @@ def _spans(text: Column, kind: str) -> Column:
             F.least(F.lit(1.0), F.lit(SCORES[kind]) + word).alias("score"),
         )
 
-    spans = F.transform(F.filter(walked, lambda x: _valid(kind, x["match"])), scored)
-    if kind not in BASE:
-        spans = F.filter(spans, lambda s: s["score"] >= LEAST)
-    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
-    has = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(pattern_probe(kind))
-    return F.when(has, spans).otherwise(empty)
+    spans = F.transform(F.filter(places, lambda x: _valid(kind, x["match"])), scored)
+    return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST)
 
 
 def pattern_probe(kind: str) -> str:
@@ -142,13 +185,13 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     start, end, score), by kind in the order of PATTERNS, then by start; end is
     exclusive and both count code points. Spans of different kinds may overlap.
 
-    Null and empty texts have no spans. Rows are judged each by themselves;
-    nothing is shuffled.
+    Null and empty texts have no spans. Rows are judged each by themselves,
+    repeated ones too; an empty table gives an empty one. Time is in proportion
+    to a text and its matches, however long. Nothing is shuffled.
     """
     names = [id_col, *(c for c in (keep or []) if c not in (id_col, "spans"))]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = df.select(*names, *[_spans(text, k).alias(f"__{k}") for k in PATTERNS])
-    return found.select(*names, F.concat(*[f"__{k}" for k in PATTERNS]).alias("spans"))
+    rows = df.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
+    return _with_spans(rows, "text").select("row.*", F.col("__spans").alias("spans"))
 
 
 def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -169,43 +212,25 @@ def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span, or each run of overlapping spans, replaced by its kind in brackets."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), F.array_append(head, wider)).otherwise(F.array_append(acc, own))
-
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    merged = F.aggregate(ordered, none, merge)
-    pieces = F.transform(
-        merged,
-        lambda s, i: F.concat(
-            F.substr(text, F.when(i == 0, F.lit(0)).otherwise(F.get(merged, i - 1)["end"]) + 1, s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(merged, i - 1)["end"])),
-            F.lit("["),
-            F.upper(s["kind"]),
-            F.lit("]"),
-        ),
-    )
-    rest = F.substr(text, F.get(merged, F.size(merged) - 1)["end"] + 1)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
-
-
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the spans in its texts replaced; a null text stays null.
+    """``df`` with the spans in its texts replaced; a null text stays null, an empty one empty, every row stays.
 
     A column n_chars, where there is one, gets the new length.
     """
     names = df.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = df.select("*", F.concat(*[_spans(text, k) for k in PATTERNS]).alias("__spans"))
-    new = F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans")))
-    out = found.withColumn("__new", new)
+    rows = _with_spans(df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), "text")
+    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rows = rows.withColumn("__spans", ordered).withColumn("__ends", F.transform("__spans", lambda s: s["end"]))
+    # Where the spans before each one end: those that begin there or later start a run.
+    rows = rows.withColumn("__reached", running(F.col("__ends"), "int", lambda a, b: F.greatest(a, b), 0))
+    head = lambda s, r: F.when((s["start"] >= r) | (r == 0), F.struct(r.alias("from"), s["start"].alias("to"), s["kind"].alias("kind")))
+    rows = rows.withColumn("__heads", F.filter(F.zip_with("__spans", "__reached", head), lambda x: x.isNotNull()))
+    parts = F.col("__parts")
+    pieces = F.transform("__heads", lambda h: F.concat(cut(parts, h["from"], h["to"]), F.lit("["), F.upper(h["kind"]), F.lit("]")))
+    new = F.concat(F.array_join(pieces, ""), cut(parts, F.array_max("__ends"), F.length("__text")))
+    rows = rows.withColumn("__new", F.when(F.size("__spans") > 0, new))
+    made = {text_col: F.coalesce("__new", "text")}
     if "n_chars" in names:
-        changed = F.col("__new").isNotNull() & (F.size("__spans") > 0)
-        out = out.withColumn("n_chars", F.when(changed, F.length("__new").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn(text_col, F.col("__new")).select(*names)
+        length = F.length("__new").cast(df.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(F.col("__new").isNotNull(), length).otherwise(F.col("row")["n_chars"])
+    return rows.select(*[made.get(c, F.col("row")[c]).alias(c) for c in names])

@@ -65,6 +65,22 @@ def test_iban_ends_with_its_country(spark, iban):
     assert [r["text"] for r in redact_pii(df.where("doc_id = 2").select("text")).collect()] == ["[IBAN] Please pay"]
 
 
+def test_pii_in_a_text_of_many_matches(spark):
+    """Over blocks and stretches: positions, and the text with all replaced."""
+    from dossier.llm.pii import digest, find_pii, redact_pii
+
+    text = "".join(f"é{k} ip 10.0.{k % 256}.{k // 256} a{k}@b.cc +12 345 678 90{k % 10}, " for k in range(700)) + "tail 😀"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = base_spans(text)
+    assert digest(find_pii(df)).first()["base_sha256"] == hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest()
+    plain, at = [], 0
+    for start, end, kind in sorted((s, e, k) for k, s, e in spans):
+        if start >= at:
+            plain.append(text[at:start] + f"[{kind.upper()}]")
+        at = max(at, end)
+    assert redact_pii(df).first()["text"] == "".join(plain) + text[at:]
+
+
 def test_redaction_keeps_the_rest(spark):
     from dossier.llm.pii import redact_pii
 
