@@ -49,8 +49,9 @@ def assign_shards(
     Sampled splitters cut that order into ``ranges`` key ranges. A text whose
     copies outweigh a range is subdivided by a hash of the id, so no task gets
     all copies of one text. Exact sums over ranges then give each record its
-    place in bytes, and the shard is that place over the total. Copies of a
-    text go where their first one does, unless the text was subdivided.
+    place in bytes, and the shard is that of its middle over the total, so a
+    shard is off by half the text at each of its ends at most. Copies of a
+    text go together, unless the text was subdivided.
 
     Null text: no bytes and the crc32 of no bytes, so size 1. Rows with the
     same id and text are placed next to each other, each with its own slot.
@@ -113,8 +114,9 @@ def assign_shards(
         }
     )
     together = Window.partitionBy(*unit, "key")
-    first = F.when(F.col("whole"), F.min("at").over(together)).otherwise(F.col("at"))
-    shard = F.least(F.floor(first * F.lit(shards) / F.lit(total)), F.lit(shards - 1)).cast("int")
+    # Where its middle lies: a text across a border goes to the side that holds more of it.
+    middle = F.when(F.col("whole"), F.min("at").over(together) + F.sum("size").over(together) / 2).otherwise(F.col("at") + F.col("size") / 2)
+    shard = F.least(F.floor(middle * F.lit(shards) / F.lit(total)), F.lit(shards - 1)).cast("int")
     placed = written(
         placed.select("id", "size", "text_crc32", "rank", shard.alias("shard")), "shard-places"
     )
