@@ -13,12 +13,11 @@ import re
 import sys
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 
 #: Bytes of remembered pieces, by their lengths and what each takes besides, in one generation.
-REMEMBERED, EACH = 50_000_000, 120
+REMEMBERED, EACH = 32_000_000, 120
 
 #: The mark that stands for a space in sentencepiece vocabularies (fixed value).
 SPACE = "▁"
@@ -148,7 +147,18 @@ class Encoder:
         return [b"".join(map(known, self.split(self.ready(t)))) if t else b"" for t in texts]
 
 
-@lru_cache(maxsize=1)
+#: What a Python worker keeps from task to task, idle ones too: one thing at a time.
+KEPT: list = [None, None]
+
+
+def lasting(key: tuple, make: Callable):
+    """What ``make`` gave for ``key`` in an earlier task of this worker, if nothing else was asked for since."""
+    if KEPT[0] != key:
+        KEPT[:] = [None, None]  # the old one goes before the new one is made
+        KEPT[:] = [key, make()]
+    return KEPT[1]
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of a vocabulary, kept by a Python worker from task to task until it needs another."""
-    return Encoder(path)
+    return lasting(("encoder", path), lambda: Encoder(path))

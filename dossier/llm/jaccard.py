@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import TASK_EDGES, connected
-from .encoders import Memory
+from .encoders import Memory, lasting
 from .store import forget, written
 
 #: n-grams that a chunk of texts, and a range of n-gram hashes, hold at about.
@@ -25,6 +24,8 @@ ORDERS = ((0x9E3779B97F4A7C15, True), (0xC2B2AE3D27D4EB4F, True), (0x165667B19E3
 #: end when one adds less than this share of the links found so far.
 ROUNDS, GAIN = 8, 0.02
 LOW = 48
+#: Bytes of words remembered with their hashes, which are quickly made again.
+WORDS = 12_000_000
 #: Words of 64 bits in a text's signature.
 SIGNATURE = 8
 
@@ -44,7 +45,7 @@ class Shingler:
     """Sorted hashes of a text's distinct n-grams of words, A-Z in lower case."""
 
     def __init__(self, n: int):
-        self.n, self.hashes = n, Memory(xxhash.xxh3_64_intdigest)
+        self.n, self.hashes = n, Memory(xxhash.xxh3_64_intdigest, WORDS)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -58,10 +59,9 @@ class Shingler:
         return np.unique(total)
 
 
-@lru_cache(maxsize=1)
 def shingler(n: int) -> Shingler:
     """One in each Python worker, from task to task."""
-    return Shingler(n)
+    return lasting(("shingles", n), lambda: Shingler(n))
 
 
 def prefix_length(n: int, percent: int) -> int:

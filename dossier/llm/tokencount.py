@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .batches import map_texts
-from .encoders import REMEMBERED, SPACE, Memory, vocabulary
+from .encoders import REMEMBERED, SPACE, Memory, lasting, vocabulary
 
 
 class MergeCounter:
@@ -78,10 +77,9 @@ class MergeCounter:
         return count
 
 
-@lru_cache(maxsize=1)
 def merge_counter(path: str) -> MergeCounter:
     """The counter of a vocabulary, kept by a Python worker from task to task."""
-    return MergeCounter(path)
+    return lasting(("counter", path), lambda: MergeCounter(path))
 
 
 def count_tokens(
