@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,18 +64,31 @@ def bodies(md: Column) -> Column:
     return F.transform(F.split(md, HEADING), strip)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _one_of_each(items: Column, name: str, pick: Callable[[Column, Column], Column]) -> Column:
+    """Of items that have the same ``name``, struct with it first, those that ``pick`` takes: sorted once, then each beside its neighbours."""
+    return bound(F.sort_array(items), lambda s: F.filter(s, lambda x, i: F.coalesce(pick(s, i)[name] != x[name], F.lit(True))))
+
+
 def sections(names: Column, texts: Column) -> Column:
     """Array of (name, body); a repeated heading keeps its first place and its last body.
 
-    Pass columns that are computed already: they are read once for each name.
+    Headings are sorted once, so a text of many sections costs little more
+    than in proportion.
     """
-    return F.transform(
-        F.array_distinct(names),
-        lambda name: F.struct(
-            name.alias("name"),
-            F.try_element_at(F.filter(texts, lambda _, i: F.get(names, i) == name), F.lit(-1)).alias("body"),
-        ),
-    )
+    whole = F.transform(F.arrays_zip(names.alias("n"), texts.alias("t")), lambda x, i: F.struct(x["n"].alias("name"), i.alias("at"), x["t"].alias("body")))
+
+    def placed(items: Column) -> Column:
+        first = _one_of_each(items, "name", lambda s, i: F.get(s, i - 1))
+        last = _one_of_each(items, "name", lambda s, i: F.get(s, i + 1))
+        both = bound(last, lambda b: F.transform(first, lambda x, i: F.struct(x["at"].alias("at"), x["name"].alias("name"), F.get(b, i)["body"].alias("body"))))
+        return F.transform(F.sort_array(both), lambda x: F.struct(x["name"].alias("name"), x["body"].alias("body")))
+
+    return bound(whole, placed)
 
 
 def section(parts: Column, name: str) -> Column:
@@ -135,14 +150,30 @@ def running_text(section: Column) -> Column:
     return F.replace(F.array_join(plain, " "), F.lit("**"), F.lit(""))
 
 
+def _unique(pairs: Column, sign: int) -> Column:
+    """Of each key the pair that comes first once places are multiplied by ``sign``; in the order of keys."""
+    placed = F.transform(pairs, lambda x, i: F.struct(x["key"].alias("key"), (i * sign).alias("at"), x["value"].alias("value")))
+    return _one_of_each(placed, "key", lambda s, i: F.get(s, i - 1))
+
+
 def last_of_each(pairs: Column) -> Column:
-    """Of each key the last pair."""
-    return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+    """Of each key the last pair, by one sort; in the order of keys."""
+    return F.transform(_unique(pairs, -1), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
 
 
 def first_of_each(pairs: Column) -> Column:
-    """Of each key the first pair."""
-    return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda y: y["key"] == x["key"]))
+    """Of each key the first pair, by one sort; in the order of keys."""
+    return F.transform(_unique(pairs, 1), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+
+
+def key_map(pairs: Column, last: bool = False) -> Column:
+    """Map of keys to their first value, or to the last. Keys are made unique by a sort, so the session's rule on repeated keys doesn't matter."""
+    return F.map_from_entries(last_of_each(pairs) if last else first_of_each(pairs))
+
+
+def at_key(pairs: Column, *keys: str) -> Column:
+    """What a map holds for the first of ``keys`` that is in it; "" without one."""
+    return F.coalesce(*[F.try_element_at(pairs, F.lit(k)) for k in keys], F.lit(""))
 
 
 def filled(pairs: Column, more: Column) -> Column:

@@ -9,7 +9,8 @@ from .. import labels as L
 from ..functions import text as T
 
 #: A line of a company: name, start, end and, in brackets, how long (fixed pattern).
-COMPANY = rf"(.+?){T.SPACE}*,{T.SPACE}*(\d{{4}}/\d{{2}}/\d{{2}}){T.SPACE}*~{T.SPACE}*(\S+){T.SPACE}*\(([^)]+)\)"
+#: It begins where the line does: a search from every place would find no more, in the square of the time.
+COMPANY = rf"^(.+?){T.SPACE}*,{T.SPACE}*(\d{{4}}/\d{{2}}/\d{{2}}){T.SPACE}*~{T.SPACE}*(\S+){T.SPACE}*\(([^)]+)\)"
 SEPARATORS = "[,，、]"
 PAIRS = "array<struct<key:string,value:string>>"
 #: Text columns and list columns of a record, in the order of the stored table.
@@ -63,7 +64,7 @@ def _nameless(pairs: Column) -> Column:
 
 
 def with_basic(df: DataFrame, section: str, rows: str, out: str) -> DataFrame:
-    """``out``: pairs of the basic section; the first of a key counts.
+    """``out``: map of the basic section's keys; the first value of a key counts.
 
     Where the table has no name, pairs of the running text fill in what is
     missing or empty; where there is still none, those of the text after line
@@ -71,18 +72,18 @@ def with_basic(df: DataFrame, section: str, rows: str, out: str) -> DataFrame:
     """
     body, none = F.col(section), _none(PAIRS)
     opened = F.regexp_replace(F.regexp_replace(body, rf"{T.UNICODE}<br{T.SPACE}*/?>", "\n"), r"\|", " ")
-    flat = lambda c: T.first_of_each(T.keys_in_text(T.running_text(c), L.BASIC_KEYS))
+    flat = lambda c: T.keys_in_text(T.running_text(c), L.BASIC_KEYS)
     df = _with(df, {"_kv": T.last_of_each(T.key_values(F.col(rows)))})
     df = _with(df, {"_more": F.when(_nameless(F.col("_kv")), flat(body)).otherwise(none)})
-    df = _with(df, {"_kv": T.filled(F.col("_kv"), F.col("_more"))})
+    df = _with(df, {"_kv": F.when(F.size("_more") > 0, T.first_of_each(T.filled(F.col("_kv"), F.col("_more")))).otherwise(F.col("_kv"))})
     df = _with(df, {"_more": F.when(_nameless(F.col("_kv")), flat(opened)).otherwise(none)})
-    return _with(df, {out: T.filled(T.first_of_each(F.col("_kv")), F.col("_more"))}).drop("_kv", "_more")
+    return _with(df, {out: T.key_map(T.filled(F.col("_kv"), F.col("_more")))}).drop("_kv", "_more")
 
 
 def person_name(section: Column, rows: Column, pairs: Column) -> Column:
     """The name without its sign of gender; where keys give none, from four other layouts."""
     signless = lambda c: T.strip(F.regexp_replace(c, rf"{T.UNICODE}{T.SPACE}*[♂♀]{T.SPACE}*", ""))
-    keyed = signless(F.get(F.split(T.first_value(pairs, *L.NAME), T.alternatives((*L.ENGLISH_NAME, L.CODE))), 0))
+    keyed = signless(F.get(F.split(T.at_key(pairs, *L.NAME), T.alternatives((*L.ENGLISH_NAME, L.CODE))), 0))
     colon, rest = rf"{T.SPACE}*[:：]{T.SPACE}*", r"([^♂♀\n|*:：]+)"
     bold = rf"姓\*{{0,2}}[/／]\*{{0,2}}名\*{{0,2}}{colon}\*{{0,2}}{T.SPACE}*{rest}"
     plain = rf"姓名{colon}{rest}"
@@ -103,7 +104,7 @@ def person_name(section: Column, rows: Column, pairs: Column) -> Column:
 
 def person_code(section: Column, pairs: Column) -> Column:
     """Leading digits of the code; without a value beside the key, from the raw section."""
-    keyed = T.first_value(pairs, L.CODE)
+    keyed = T.at_key(pairs, L.CODE)
     raw = T.found(section, rf"104\*{{0,2}}代碼\*{{0,2}}{T.SPACE}*[:：]{T.SPACE}*\*{{0,2}}{T.SPACE}*(\d+)")
     return T.found(F.when(keyed != "", keyed).otherwise(raw), r"^(\d+)")
 
@@ -143,7 +144,7 @@ def summary(section: Column, ends: tuple[str, ...] = L.AFTER_SUMMARY) -> Column:
 
 def company_starts(joined: Column) -> Column:
     """Positions of texts that open a work entry."""
-    return F.filter(F.transform(joined, lambda x, i: F.when(x.rlike(T.UNICODE + COMPANY), i)), lambda x: x.isNotNull())
+    return F.filter(F.transform(joined, lambda x, i: F.when(x.contains("~") & x.rlike(T.UNICODE + COMPANY), i)), lambda x: x.isNotNull())
 
 
 def work_entries(opening: Column, starts: Column, pairs: Column, carried: Column | None = None) -> Column:
@@ -161,13 +162,16 @@ def work_entries(opening: Column, starts: Column, pairs: Column, carried: Column
         own = F.flatten(F.slice(pairs, start + 2, F.greatest(end - start - 1, F.lit(0))))
         if carried is not None:
             own = F.when(k == 0, F.concat(carried, own)).otherwise(own)
-        texts = lambda keys: T.value(F.filter(own, lambda x: x["key"].isin(*keys) & (x["value"] != "")), *keys[::-1])
-        return F.struct(
-            (k + 1).cast("int").alias("seq"),
-            T.strip(T.found(line, COMPANY)).alias("company_name"),
-            *[F.regexp_extract(line, T.UNICODE + COMPANY, g).alias(n) for g, n in ((2, "date_start"), (3, "date_end"), (4, "duration"))],
-            *[T.value(own, *keys).alias(n) for n, keys in L.WORK_FIELDS.items()],
-            *[texts(keys).alias(n) for n, keys in L.WORK_TEXTS.items()],
+        maps = F.struct(T.key_map(own, last=True).alias("any"), T.key_map(F.filter(own, lambda x: x["value"] != ""), last=True).alias("text"))
+        return T.bound(
+            maps,
+            lambda m: F.struct(
+                (k + 1).cast("int").alias("seq"),
+                T.strip(T.found(line, COMPANY)).alias("company_name"),
+                *[F.regexp_extract(line, T.UNICODE + COMPANY, g).alias(n) for g, n in ((2, "date_start"), (3, "date_end"), (4, "duration"))],
+                *[T.at_key(m["any"], *keys).alias(n) for n, keys in L.WORK_FIELDS.items()],
+                *[T.at_key(m["text"], *keys[::-1]).alias(n) for n, keys in L.WORK_TEXTS.items()],
+            ),
         )
 
     return F.transform(starts, entry)
@@ -249,6 +253,10 @@ def attachment_entries(rows: Column) -> Column:
 def parse_records(df: DataFrame, text_col: str = "markdown", keep: list[str] | None = None) -> DataFrame:
     """``keep`` and the whole record of each text: TEXTS, LISTS and CHILDREN.
 
+    Only what is selected of the record is computed: a query for names reads the
+    basic section alone. Time grows with a text's length, and a little more for
+    sorting its keys.
+
     What is missing is "" or an empty list; references are always empty. A null
     text gives an empty record. A bare bar gives a row without cells, which is
     skipped.
@@ -276,9 +284,9 @@ def parse_records(df: DataFrame, text_col: str = "markdown", keep: list[str] | N
             "_intro": _by_name(parts, L.INTRODUCTION),
         }
     )
-    # The first section whose table has one of the labels in its first column.
-    labelled = F.transform(parts, lambda s: T.table_rows(s["body"]))
-    at = _with(at, {"_tables": labelled})
+    # The first section whose table has one of the labels in its first column; only those that hold one at all are read as tables.
+    labelled = F.filter(parts, lambda s: _any(s["body"], (*L.REFERENCES, L.ATTACHMENTS)))
+    at = _with(at, {"_tables": F.transform(labelled, lambda s: T.table_rows(s["body"]))})
     first_cells = lambda rows: F.array_join(F.transform(rows, lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))), " ")
     tables = F.filter("_tables", lambda rows: _any(first_cells(rows), (*L.REFERENCES, L.ATTACHMENTS)))
     education = F.when(F.contains("_work", F.lit(L.EDUCATION)), T.found(F.col("_work"), rf"({L.EDUCATION}.*)\z", "(?s)")).otherwise(F.col("_work"))
@@ -290,15 +298,15 @@ def parse_records(df: DataFrame, text_col: str = "markdown", keep: list[str] | N
             "_contact_rows": T.table_rows(F.col("_contact")),
             "_work_rows": T.table_rows(F.col("_work")),
             "_education_rows": T.table_rows(education),
-            "_wishes": T.key_values(T.table_rows(F.col("_wishes"))),
+            "_wishes": T.key_map(T.key_values(T.table_rows(F.col("_wishes"))), last=True),
             "_work_lines": F.filter(F.transform(T.lines(F.replace(F.col("_work"), F.lit("**"), F.lit(""))), T.strip), lambda x: x != ""),
         }
     ).drop("_parts", "_tables", "_md")
     at = with_basic(at, "_basic", "_basic_rows", "_pairs")
-    table = T.last_of_each(T.key_values(F.col("_contact_rows")))
-    at = _with(at, {"_contacts": table})
-    flat = T.first_of_each(T.keys_in_text(F.replace(F.col("_contact"), F.lit("**"), F.lit("")), L.CONTACT_KEYS))
-    at = _with(at, {"_contacts": F.when(T.first_value(F.col("_contacts"), "email") == "", F.concat("_contacts", flat)).otherwise(F.col("_contacts"))})
+    at = _with(at, {"_contacts": T.last_of_each(T.key_values(F.col("_contact_rows")))})
+    flat = T.keys_in_text(F.replace(F.col("_contact"), F.lit("**"), F.lit("")), L.CONTACT_KEYS)
+    more = F.when(T.first_value(F.col("_contacts"), "email") == "", F.concat("_contacts", flat)).otherwise(F.col("_contacts"))
+    at = _with(at, {"_contacts": T.key_map(more)})
     joined = F.transform("_work_rows", lambda r: F.array_join(r, " "))
     none = _none("array<int>")
     at = _with(at, {"_joined": joined, "_row_pairs": F.transform("_work_rows", lambda r: T.key_values(F.array(r)))})
@@ -314,26 +322,26 @@ def parse_records(df: DataFrame, text_col: str = "markdown", keep: list[str] | N
         work_entries(F.col("_work_lines"), F.col("_line_starts"), F.col("_line_pairs"), F.col("_before"))
     )
     basic, pairs, contacts = F.col("_basic"), F.col("_pairs"), F.col("_contacts")
-    year, age = birth_and_age(T.first_value(pairs, L.AGE))
+    year, age = birth_and_age(T.at_key(pairs, L.AGE))
     own = summary(basic)
     intro = T.strip(F.regexp_replace("_intro", rf"(?dU)#{{1,4}}{T.SPACE}+.+", ""))
     introduction = F.when(own != "", own).when(intro != "", intro).otherwise(summary(basic, L.AFTER_SUMMARY[:2]))
     fields = {
         "name": person_name(basic, F.col("_basic_rows"), pairs),
-        "english_name": T.first_value(pairs, *L.ENGLISH_NAME),
+        "english_name": T.at_key(pairs, *L.ENGLISH_NAME),
         "code": person_code(basic, pairs),
         "birth_year": year,
         "age": age,
-        **{n: T.first_value(pairs, *keys) for n, keys in L.SCALARS.items()},
+        **{n: T.at_key(pairs, *keys) for n, keys in L.SCALARS.items()},
         "linkedin_url": profile_link(basic),
         "photo_path": T.found(basic, r"!\[.*?\]\(([^)]+)\)", "(?d)"),
-        **{n: T.first_value(contacts, *keys) for n, keys in L.CONTACTS.items()},
-        **{n: T.value(F.col("_wishes"), *keys) for n, keys in L.WISHES.items()},
+        **{n: T.at_key(contacts, *keys) for n, keys in L.CONTACTS.items()},
+        **{n: T.at_key(F.col("_wishes"), *keys) for n, keys in L.WISHES.items()},
         "skills_text": F.col("_skills"),
         "self_introduction": introduction,
         "desired_job_categories": job_categories(F.col("_basic_rows")),
-        "desired_locations": T.pieces(T.first_value(pairs, *L.LOCATIONS), SEPARATORS),
-        "ideal_positions": T.pieces(T.first_value(pairs, L.IDEAL_POSITIONS), rf"{T.SPACE}{{2,}}|[,，、\n]"),
+        "desired_locations": T.pieces(T.at_key(pairs, *L.LOCATIONS), SEPARATORS),
+        "ideal_positions": T.pieces(T.at_key(pairs, L.IDEAL_POSITIONS), rf"{T.SPACE}{{2,}}|[,，、\n]"),
         "skill_tags": T.hashtags(F.col("_skills")),
         "work": work,
         "education": education_entries(F.col("_education_rows")),
@@ -341,9 +349,8 @@ def parse_records(df: DataFrame, text_col: str = "markdown", keep: list[str] | N
         "attachments": attachment_entries(F.col("_attached")),
     }
     kinds = dict.fromkeys(TEXTS, "string") | dict.fromkeys(LISTS, "array<string>") | CHILDREN
-    record = F.struct(*[fields[n].cast(kind).alias(n) for n, kind in kinds.items()])
-    at = at.select(*keep, _held(record).alias("_record"))
-    return at.select(*keep, *[F.col("_record")[n].alias(n) for n in kinds])
+    # Each field is held by itself: what isn't asked for is not computed, down to the sections that it alone needs.
+    return at.select(*keep, *[_held(fields[n].cast(kind)).alias(n) for n, kind in kinds.items()])
 
 
 def split_people(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
