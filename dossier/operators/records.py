@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +43,25 @@ def _held(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
-def _with(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.withColumns({n: _held(c) for n, c in columns.items()})
+class _Steps:
+    """Projections to be made one after the other: columns that are added, or names that are dropped."""
+
+    def __init__(self) -> None:
+        self.steps: list[dict[str, Column] | tuple[str, ...]] = []
+
+    def drop(self, *names: str) -> _Steps:
+        self.steps.append(names)
+        return self
+
+    def applied(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            df = df.withColumns(step) if isinstance(step, dict) else df.drop(*step)
+        return df
+
+
+def _with(at: _Steps, columns: dict[str, Column]) -> _Steps:
+    at.steps.append({n: _held(c) for n, c in columns.items()})
+    return at
 
 
 def _none(kind: str) -> Column:
@@ -63,7 +83,7 @@ def _nameless(pairs: Column) -> Column:
     return (one == "") & (two == "")
 
 
-def with_basic(df: DataFrame, section: str, rows: str, out: str) -> DataFrame:
+def with_basic(df: _Steps, section: str, rows: str, out: str) -> _Steps:
     """``out``: map of the basic section's keys; the first value of a key counts.
 
     Where the table has no name, pairs of the running text fill in what is
@@ -262,9 +282,18 @@ def parse_records(df: DataFrame, text_col: str = "markdown", keep: list[str] | N
     skipped.
     """
     keep = keep or []
+    steps, fields = _parser(df.sparkSession.sparkContext)
+    # Kept columns travel as one, so that none can clash with a step's.
+    at = df.select(F.struct(*keep).alias("_kept") if keep else F.lit(0).alias("_kept"), _held(F.coalesce(F.col(text_col), F.lit(""))).alias("_md"))
+    # Each field is held by itself: what isn't asked for is not computed, down to the sections that it alone needs.
+    return steps.applied(at).select(*[F.col(f"_kept.`{c}`").alias(c) for c in keep], *[c.alias(n) for n, c in fields.items()])
+
+
+@lru_cache(maxsize=1)
+def _parser(context: SparkContext) -> tuple[_Steps, dict[str, Column]]:
+    """Steps from _md on and the record's fields after them. Made once for a session's context: so many expressions take seconds."""
     # Each step is a projection of its own, so that no step is computed again for every use.
-    md = F.coalesce(F.col(text_col), F.lit(""))
-    at = df.select(*keep, _held(md).alias("_md"))
+    at = _Steps()
     at = _with(at, {"_names": T.headings(F.col("_md")), "_bodies": T.bodies(F.col("_md"))})
     at = _with(at, {"_parts": T.sections(F.col("_names"), F.col("_bodies"))}).drop("_names", "_bodies")
     parts, md = F.col("_parts"), F.col("_md")
@@ -349,8 +378,7 @@ def parse_records(df: DataFrame, text_col: str = "markdown", keep: list[str] | N
         "attachments": attachment_entries(F.col("_attached")),
     }
     kinds = dict.fromkeys(TEXTS, "string") | dict.fromkeys(LISTS, "array<string>") | CHILDREN
-    # Each field is held by itself: what isn't asked for is not computed, down to the sections that it alone needs.
-    return at.select(*keep, *[_held(fields[n].cast(kind)).alias(n) for n, kind in kinds.items()])
+    return at, {n: _held(fields[n].cast(kind)) for n, kind in kinds.items()}
 
 
 def split_people(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
