@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -197,11 +197,63 @@ def parse_attachments(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT id AS candidate_id, name, code FROM candidates")
 def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Files of several people each, parsed as a stream of one batch, people split."""
+    """Files of several people each, parsed as a stream of one batch and stored, people split."""
     folder = tables.scratch(spark)
     rendering.rendered(spark, d).select("markdown").write.text(f"{folder}/in")
     ingest.ingest_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", split=True).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(F.col("code").cast("long").alias("candidate_id"), "name", "code")
+    return storage.stored_table(spark, f"{folder}/out", "candidates").select(F.col("code").cast("long").alias("candidate_id"), "name", "code")
+
+
+def _stored_sums(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of each stored table, and the sums of the ids in them."""
+    sums = []
+    for name in ("candidates", *storage.CHILD_TABLES, "skills", "rejects"):
+        stored = storage.stored_table(spark, path, name)
+        of = F.col("id") if name == "candidates" else F.lit(0) if name == "rejects" else F.col("candidate_id")
+        sums.append(stored.agg(F.lit(name).alias("t"), F.count("*").alias("n"), F.coalesce(F.sum(of), F.lit(0)).cast("decimal(38,0)").alias("ids")))
+    return reduce(DataFrame.unionByName, sums)
+
+
+_SUMS = """SELECT 'candidates' AS t, count(*) AS n, CAST(sum(id) AS HUGEINT) AS ids FROM kept
+    UNION ALL SELECT 'work_experiences', count(*), CAST(sum(k.id) AS HUGEINT) FROM kept k JOIN work w ON w.candidate_id = k.of
+    UNION ALL SELECT 'education', count(*), CAST(sum(k.id) AS HUGEINT) FROM kept k JOIN education e ON e.candidate_id = k.of
+    UNION ALL SELECT 'skills', count(*), CAST(sum(k.id) AS HUGEINT) FROM kept k JOIN skills s ON s.candidate_id = k.of
+    UNION ALL SELECT 'attachments', 2 * count(*), CAST(2 * sum(id) AS HUGEINT) FROM kept
+    UNION ALL SELECT 'references_', 0, CAST(0 AS HUGEINT)"""
+
+
+@_query(
+    f""", kept AS (SELECT id AS of, row_number() OVER (ORDER BY id % 2, id) AS id FROM candidates WHERE id % 7 <> 3)
+    {_SUMS} UNION ALL SELECT 'rejects', count(*), CAST(0 AS HUGEINT) FROM candidates WHERE id % 7 = 3"""
+)
+def published_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches of documents, some blank, stored one after the other, the second handed over twice: what all tables then hold."""
+    folder = tables.scratch(spark)
+    blank = F.when(F.pmod("candidate_id", F.lit(7)) == 3, " \n").otherwise(F.col("markdown"))
+    files = rendering.rendered(spark, d).select(F.lpad(F.col("candidate_id").cast("string"), 9, "0").alias("path"), blank.alias("text"))
+    odd = F.pmod(F.col("path").cast("long"), F.lit(2))
+    for batch, part in (("a", odd == 0), ("b", odd == 1), ("b", F.lit(True))):
+        storage.batch_import(files.where(part), folder, split=False, batch=batch)
+    return _stored_sums(spark, folder)
+
+
+@_query(
+    """SELECT 'candidates' AS t, count(*) AS n, count(*) AS parents FROM candidates UNION ALL SELECT 'work_experiences', count(*), count(DISTINCT candidate_id) FROM work
+    UNION ALL SELECT 'education', count(*), count(DISTINCT candidate_id) FROM education UNION ALL SELECT 'skills', count(*), count(DISTINCT candidate_id) FROM skills
+    UNION ALL SELECT 'attachments', 2 * count(*), count(*) FROM candidates"""
+)
+def stored_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Files taken two at a time by a stream into the stored tables, then by the same stream again: rows of each, and how many parents they have."""
+    folder = tables.scratch(spark)
+    rendering.rendered(spark, d).select("markdown").repartition(4).write.text(f"{folder}/in")
+    for _ in range(2):
+        ingest.ingest_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", split=True, files_at_once=2).awaitTermination()
+    people = storage.stored_table(spark, f"{folder}/out", "candidates").select("id")
+    sums = [people.agg(F.lit("candidates").alias("t"), F.count("*").alias("n"), F.countDistinct("id").alias("parents"))]
+    for name in ("work_experiences", "education", "skills", "attachments"):
+        rows = storage.stored_table(spark, f"{folder}/out", name).select(F.col("candidate_id").alias("id")).join(people, "id")
+        sums.append(rows.agg(F.lit(name).alias("t"), F.count("*").alias("n"), F.countDistinct("id").alias("parents")))
+    return reduce(DataFrame.unionByName, sums)
 
 
 @_query("SELECT id AS candidate_id, '# 基本資料' AS heading, strpos(name, 'C') AS at FROM candidates")
