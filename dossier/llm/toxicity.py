@@ -46,12 +46,9 @@ SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l"}
 
 #: Signs that count only where a letter follows and no other sign stands before.
 _SIGN = re.compile(r"(?<![^\s\w])[@$!|€£](?=\w)")
-#: Words with a digit and a letter; numbers stay numbers.
-_MIXED = re.compile(r"[a-z0-9]*(?:[a-z][0-9]|[0-9][a-z])[a-z0-9]*")
 #: Letters that stand alone, parted by one and the same sign or space: s.t.u.p.i.d.
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*])[^\W\d_])(?:\1[^\W\d_]){2,}(?![^\W_])")
-_GAPS = re.compile(r"[^a-z0-9\x80-\U0010ffff]+")
-_LONG_RUN = re.compile(r"([^\W\d_])\1{2,}")
+_SPACED = re.compile(rb"(?<![a-z0-9\x80-\xff])[a-z](?:([ .\-_*])[a-z])(?:\1[a-z]){2,}(?![a-z0-9\x80-\xff])")
+_LONG_RUN = re.compile(rb"([a-z])\1{2,}")
 
 #: Lengths of the word beginnings that are terms beside whole words.
 BEGINNINGS = range(4, 9)
@@ -59,9 +56,9 @@ BEGINNINGS = range(4, 9)
 
 @lru_cache(maxsize=1)
 def _letters() -> dict[int, str | None]:
-    """Each sign whose compatibility form is one Latin letter, look-alikes, and marks and invisible signs, which go."""
+    """Signs whose compatibility form is one Latin letter, look-alikes, marks and invisible signs, which go, and what parts words."""
     table: dict[int, str | None] = {}
-    for point in (*range(0xC0, 0x3000), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800), *range(0x1F130, 0x1F18A)):
+    for point in (*range(0xA0, 0x3100), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800), *range(0x1F130, 0x1F18A)):
         sign = chr(point)
         if unicodedata.category(sign) in ("Mn", "Cf"):
             table[point] = None
@@ -69,13 +66,17 @@ def _letters() -> dict[int, str | None]:
         plain = [c for c in unicodedata.normalize("NFKD", sign).lower() if not unicodedata.combining(c)]
         if len(plain) == 1 and plain[0] != sign and (plain[0] in HOMOGLYPHS or plain[0].isascii() and plain[0].isalnum()):
             table[point] = HOMOGLYPHS.get(plain[0], plain[0])
+        elif unicodedata.category(sign)[0] in "PSZ":
+            table[point] = " "
     table |= {ord(a): b for a, b in HOMOGLYPHS.items()}
     table[0xAD] = None
     return table
 
 
-_ONE = str.maketrans("l", "i")
-_DIGITS = str.maketrans(DIGITS)
+_DIGITS = bytes.maketrans("".join(DIGITS).encode(), "".join(DIGITS.values()).encode())
+#: Bytes of words; all others become spaces, and l becomes i.
+_IN_WORDS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
+_PARTED = bytes(ord("i") if b == ord("l") else b if _IN_WORDS[b] else 32 for b in range(256))
 
 
 def fold(text: str) -> str:
@@ -85,17 +86,35 @@ def fold(text: str) -> str:
     letter they look like; digits and signs inside a word as the letter they
     stand for, l and 1 as i; letters of a word that are parted one by one
     joined; three or more of a letter as one. Whole texts are folded, in time
-    that grows with their length.
+    that grows with their length; patterns run only where their bytes occur.
     """
     text = text.lower()
     if not text.isascii():
-        text = text.translate(_letters())
+        table, odd = _letters(), [c for c in set(text) if c > "\x7f"]
+        if len(odd) > 64:
+            text = text.translate(table)
+        else:
+            for c in odd:
+                if ord(c) in table:
+                    text = text.replace(c, table[ord(c)] or "")
     if any(s in text for s in SIGNS):
         text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    text = _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
-    text = _LONG_RUN.sub(r"\1", text)
-    text = _MIXED.sub(lambda m: m[0].translate(_DIGITS), text)
-    return f" {_GAPS.sub(' ', text).strip()} ".translate(_ONE)
+    text = text.encode()
+    data = np.frombuffer(text, np.uint8)
+    inside = _IN_WORDS[data]
+    if len(data) >= 7:
+        alone = inside.copy()
+        alone[1:] &= ~inside[:-1]
+        alone[:-1] &= ~inside[1:]
+        if (alone[:-6] & alone[2:-4] & alone[4:-2] & alone[6:]).any():
+            text = _SPACED.sub(lambda m: m[0].replace(m[1], b""), text)
+    same = data[1:] == data[:-1]
+    if (same[1:] & same[:-1] & inside[2:]).any():
+        text = _LONG_RUN.sub(rb"\1", text)
+    words = text.translate(_PARTED).split()
+    if ((data >= 48) & (data <= 57)).any():
+        words = [w if w.isalpha() or w.isdigit() else w.translate(_DIGITS) for w in words]
+    return f" {b' '.join(words).decode()} "
 
 
 def terms_of(word: str) -> list[str]:
@@ -145,7 +164,7 @@ def figures(df: DataFrame, weights: dict[str, float], text_col: str, keep: list[
         def measured(texts: list[str | None]) -> list[pa.Array]:
             found = []
             for text in texts:
-                folded = fold(text) if text else "  "
+                folded = fold(text or "")
                 total, n = lexicon.measure(folded)
                 found.append((n, total, 100.0 * total / max(1, folded.count(" ") - 1)))
             return [pa.array([x[i] for x in found], f) for i, f in enumerate((pa.int64(), pa.float64(), pa.float64()))]
@@ -183,22 +202,29 @@ def term_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def learn_lexicon(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", most: int = 4096, least_z: float = 4.0) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", most: int = 4096, least_z: float = 4.5) -> dict[str, float]:
     """Weights of SEEDS and of terms that more of the labelled toxic texts hold than of the others.
 
     A weight is the logarithm of the ratio of shares, a half added to each
     count, less one standard error. Texts are counted, not occurrences, so one
-    that repeats a word tells no more, and equal texts count once. Terms under
-    ``least_z`` standard errors are left out, and of the rest the ``most`` with
-    the most standard errors make up the lexicon: that bounds what the driver
-    gets, whatever the size of the corpus.
+    that repeats a word tells no more, and equal texts count once. Terms whose
+    share differs by under ``least_z`` standard errors are left out, by their
+    likelihood ratio, which serves rare terms, and by the ratio of shares. Of
+    the rest the ``most`` with the highest make up the lexicon: that bounds
+    what the driver gets, whatever the size of the corpus.
     """
     once = rows.dropDuplicates([text_col])
     total = once.agg(F.count(F.when(F.col(label_col) == 1, 1)).alias("all_bad"), F.count(F.when(F.col(label_col) != 1, 1)).alias("all_good"))
     b, g = F.col("bad") + 0.5, F.col("good") + 0.5
     ratio = F.log(b / (F.col("all_bad") + 1)) - F.log(g / (F.col("all_good") + 1))
     found = term_counts(once, text_col, label_col).where("bad > 1").join(F.broadcast(total))
-    found = found.withColumns({"ratio": ratio, "error": F.sqrt(1 / b + 1 / g)}).withColumn("z", F.col("ratio") / F.col("error")).where(F.col("z") >= least_z)
+    has, all_bad, all_good = F.col("bad") + F.col("good"), F.col("all_bad"), F.col("all_good")
+    every = all_bad + all_good
+    # Of texts with and without the term, toxic or not: what is there against what equal shares would give.
+    cell = lambda x, row, column: F.when(x > 0, x * F.log(x * every / (row * column))).otherwise(0.0)
+    sides = cell(F.col("bad"), has, all_bad) + cell(F.col("good"), has, all_good)
+    sides += cell(all_bad - F.col("bad"), every - has, all_bad) + cell(all_good - F.col("good"), every - has, all_good)
+    found = found.withColumns({"ratio": ratio, "error": F.sqrt(1 / b + 1 / g), "z": F.greatest(F.sqrt(2 * sides), ratio / F.sqrt(1 / b + 1 / g))}).where((F.col("z") >= least_z) & (ratio > F.col("error")))
     top = found.orderBy(F.desc("z"), "term").limit(most).select("term", "bad", (F.col("ratio") - F.col("error")).alias("w")).collect()
     seeds = {f" {fold(s).strip()} ": SEED_WEIGHT for s in SEEDS}
     return seeds | {r["term"]: r["w"] for r in _without_stubs(top)}
@@ -253,7 +279,7 @@ def toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    train_rows: int = 100_000,
+    train_rows: int = 20_000,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> DataFrame:
     """Per row: ``id_col``, held_out, score (0 to 1), predicted, n_terms and per_100.
