@@ -86,7 +86,7 @@ def test_held_out_labels_are_met_and_never_read(spark):
 
 
 def test_toxicity_takes_any_row(spark):
-    made = [(100 + k, f"nasty grobble text w{k}" if k % 2 else f"kind words here w{k}") for k in range(60)]
+    made = [(100 + k, f"nasty grobble phrase w{k}" if k % 2 else f"kind words here w{k}") for k in range(60)]
     marks = [(i, 1, int("nasty" in t)) for i, t in made] + [(2, 1, 0), (None, 1, 1), (5, 1, None), (6, 0, 0), (6, 0, 1)]
     got = toxicity.toxicity(table(spark, TEXTS + made), labels(spark, marks)).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in TEXTS + made)
