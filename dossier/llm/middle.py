@@ -75,7 +75,7 @@ class Cutter:
     def table(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ends of chunks, and the characters begun up to each; a chunk's head must end what the ones before it began."""
         ends = chunk_ends(np.frombuffer(data, np.uint8))
-        starts = [0, *ends[:-1]]
+        starts = [0, *ends][: len(ends)]
         found = np.frombuffer(b"".join([self.known[data[a:b]] for a, b in zip(starts, ends, strict=True)]), np.uint32).reshape(-1, 2)
         return np.array(ends, np.int64), np.cumsum(found[:, 1], dtype=np.int64)
 
