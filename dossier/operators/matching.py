@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import labels as L
 from ..functions.text import strip_fences, within_budget
+from .published import entries, publish_next, remove
 from .records import CHILDREN, LISTS, TEXTS
 
 #: Columns of the stored row that a request carries; the others go as empty defaults.
@@ -24,6 +27,10 @@ REPLY = T.StructType(
     + [T.StructField("analysis_text", T.StringType()), T.StructField("strengths", T.ArrayType(T.StringType())), T.StructField("gaps", T.ArrayType(T.StringType()))]
 )
 
+_KEYS = [T.StructField("candidate_id", T.LongType()), T.StructField("job_id", T.LongType())]
+_SCORED = T.StructType([*_KEYS, *REPLY.fields])
+_REJECTED = T.StructType([*_KEYS, *[T.StructField(c, T.StringType()) for c in ("stage", "reason", "reply")]])
+
 
 def candidate_json(candidates: DataFrame) -> Column:
     """A candidate's record as JSON, without references and attachments."""
@@ -55,21 +62,91 @@ def extraction_requests(df: DataFrame, id_col: str, text_col: str, system: str =
 
 
 def score_with(requests: DataFrame, function: Callable[[pd.Series], pd.Series], tasks: int | None = None) -> DataFrame:
-    """``requests`` with the reply that ``function`` gives for each batch of requests.
+    """``requests`` with the reply that ``function`` gives, and what went wrong (null: nothing).
 
-    A slow model is asked by ``tasks`` tasks at once.
+    The function gets batches of requests. Where it raises, or gives another
+    number of replies, each request of that batch is asked by itself, so only
+    those that fail alone are without a reply, with the exception as their
+    error. A slow model is asked by ``tasks`` tasks at once.
     """
     rows = requests.repartition(tasks) if tasks else requests
-    schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType())])
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name not in ("reply", "error")], T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+
+    def one(request: str | None) -> tuple[str | None, str | None]:
+        try:
+            (reply,) = function(pd.Series([request]))
+            return reply, None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["reply"] = function(batch["request"])
-            yield batch
+            try:
+                replies, errors = list(function(batch["request"])), [None] * len(batch)
+                if len(replies) != len(batch):
+                    raise ValueError("another number of replies")
+            except Exception:
+                pairs = [one(r) for r in batch["request"]]
+                replies, errors = [p[0] for p in pairs], [p[1] for p in pairs]
+            yield batch.assign(reply=replies, error=errors)[schema.names]
 
     return rows.mapInPandas(run, schema)
 
 
+class Scored(NamedTuple):
+    """Pairs whose reply was good, with its fields, and rejects (candidate_id, job_id, stage, reason, reply)."""
+
+    scores: DataFrame
+    rejects: DataFrame
+
+
+def stored_scores(spark: SparkSession, path: str) -> DataFrame:
+    """All published scores under ``path``: candidate_id, job_id and the reply's fields."""
+    return _slices(spark, path, "scores", _SCORED)
+
+
+def _slices(spark: SparkSession, path: str, name: str, schema: T.StructType, runs: set[str] | None = None) -> DataFrame:
+    done = [e.batch for e in entries(spark, path) if e.rows.get(name) and (runs is None or e.batch in runs)]
+    return spark.read.schema(schema).parquet(*[f"{path}/{name}/batch={b}" for b in done]) if done else spark.createDataFrame([], schema)
+
+
+def score_missing(requests: DataFrame, function: Callable[[pd.Series], pd.Series], path: str, slices: int = 16, tasks: int | None = None) -> Scored:
+    """Ask for what has no stored score yet, slice by slice, and store it under ``path``.
+
+    Requests (candidate_id, job_id, request) whose pair has a score are left
+    out, so a second run after a stop asks only for what is missing, failed
+    requests and bad replies included. Pairs are dealt to ``slices`` by a hash;
+    each slice is asked, stored and published before the next one begins, so
+    at most one is asked again after a stop. Returns all scores of the requests
+    and the rejects of this run, each with the stage that failed (``request``
+    or ``reply``) and the reason.
+    """
+    spark, keys, run = requests.sparkSession, ["candidate_id", "job_id"], uuid.uuid4().hex
+    missing = requests.join(stored_scores(spark, path).select(*keys), keys, "left_anti").withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int"))
+    folder = f"{path}/asked/{run}"
+    missing.write.partitionBy("_slice").parquet(folder)
+    asked = spark.read.schema(missing.schema).parquet(folder)
+    mine = set()
+    for k in range(slices):
+        batch = f"{run}-{k:06d}"
+        replies = score_with(asked.where(F.col("_slice") == k).drop("_slice"), function, tasks)
+        replies.write.mode("overwrite").parquet(f"{path}/replies/{batch}")  # asked once: what follows reads the answers
+        replies = spark.read.schema(replies.schema).parquet(f"{path}/replies/{batch}")
+        good, bad = parse_match_replies(replies.where("error is null"), keys)
+        failed = replies.where("error is not null").select(*keys, F.lit("request").alias("stage"), F.col("error").alias("reason"), "reply")
+        wrong = bad.select(*keys, F.lit("reply").alias("stage"), F.col("fault").alias("reason"), "reply")
+        sizes = {}
+        for name, rows, schema in (("scores", good, _SCORED), ("rejects", failed.unionByName(wrong), _REJECTED)):
+            rows.select(*schema.names).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+            sizes[name] = spark.read.schema(schema).parquet(f"{path}/{name}/batch={batch}").count()
+        publish_next(spark, path, batch, sizes)
+        mine.add(batch)
+        remove(spark, f"{path}/replies/{batch}")
+    remove(spark, folder)
+    found = stored_scores(spark, path).join(requests.select(*keys).distinct(), keys, "left_semi")
+    return Scored(found, _slices(spark, path, "rejects", _REJECTED, mine))
+
+
 def match_fault(raw: Column, parsed: Column) -> Column:
     """The first field of a reply that has another type than the model's; null for a good one.
 
