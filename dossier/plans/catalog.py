@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache, reduce
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from .. import labels
 from ..functions import text
 from ..functions.text import score_band, score_label
-from ..operators import changes, chunks, matching, records, relational, storage
+from ..operators import changes, chunks, matching, records, relational, storage, stored
+from ..sources import files as readers
 from ..streaming import ingest
 from . import rendering, tables
 
@@ -613,3 +615,146 @@ def batch_imported(spark: SparkSession, d: str) -> DataFrame:
     stored, work = storage.stored_table(spark, folder, "candidates"), storage.stored_table(spark, folder, "work_experiences")
     ids = stored.agg(F.sum("id").cast("decimal(38,0)").alias("ids"))
     return counts.join(F.broadcast(ids)).join(F.broadcast(work.agg(F.count("*").alias("n_work"))))
+
+
+@_query(
+    """, old AS (SELECT candidate_id, job_id, min(id) AS id, max_by(overall_score, id) AS overall_score FROM matches WHERE year(created_at) < 1996 GROUP BY 1, 2),
+    new AS (SELECT candidate_id, job_id, max(id) AS id, max_by(overall_score, id) AS overall_score FROM matches WHERE year(created_at) >= 1996 GROUP BY 1, 2)
+    SELECT coalesce(old.candidate_id, new.candidate_id) AS candidate_id, coalesce(old.job_id, new.job_id) AS job_id,
+    coalesce(old.id, new.id) AS id, coalesce(new.overall_score, old.overall_score) AS overall_score
+    FROM old FULL JOIN new ON old.candidate_id = new.candidate_id AND old.job_id = new.job_id"""
+)
+def stored_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Scores stored in slices by candidate and job, then later ones put in their place where they lie."""
+    folder, found = tables.scratch(spark), tables.matches(spark, d).select("candidate_id", "job_id", "id", "overall_score", "created_at")
+    early = found.where(F.year("created_at") < 1996).groupBy("candidate_id", "job_id").agg(F.min("id").alias("id"), F.max_by("overall_score", "id").alias("overall_score"))
+    table = stored.Table(f"matches_{uuid.uuid4().hex}", f"{folder}/matches", ("candidate_id", "job_id"), 16)
+    stored.create(early, table)
+    stored.stored_upsert(table, found.where(F.year("created_at") >= 1996).drop("created_at"), "id", f"{folder}/log", "later", ["id"])
+    return stored.read(spark, table)
+
+
+def _sliced(spark: SparkSession, d: str, slices: int = 16) -> tuple[str, dict[str, stored.Table]]:
+    """Candidates, work and skills stored in slices by candidate."""
+    folder, mark = tables.scratch(spark), uuid.uuid4().hex
+    rows = {"candidates": tables.candidates(spark, d), "work": tables.work(spark, d), "skills": tables.skills(spark, d)}
+    made = {n: stored.Table(f"{n}_{mark}", f"{folder}/{n}", ("id" if n == "candidates" else "candidate_id",), slices) for n in rows}
+    for n, table in made.items():
+        stored.create(rows[n], table)
+    return folder, made
+
+
+@_query(
+    """SELECT c.id, CASE WHEN c.id % 3 = 0 THEN 'new ' || c.name ELSE c.name END AS name, coalesce(w.n, 0) AS n_work, coalesce(w.x, '') AS first_company, coalesce(s.n, 0) AS n_skills FROM candidates c LEFT JOIN
+    (SELECT candidate_id, count(*) AS n, min(company_name) AS x FROM (SELECT candidate_id, company_name FROM work WHERE candidate_id % 3 <> 0
+      UNION ALL SELECT id, 'New ' || code FROM candidates WHERE id % 3 = 0) GROUP BY 1) w ON w.candidate_id = c.id
+    LEFT JOIN (SELECT candidate_id, count(*) AS n FROM skills WHERE candidate_id % 3 <> 0 GROUP BY 1) s ON s.candidate_id = c.id"""
+)
+def stored_replace(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the stored candidates read anew: names and work replaced, skills gone; then all tables joined by id."""
+    folder, made = _sliced(spark, d)
+    again = tables.candidates(spark, d).where("id % 3 = 0").withColumn("name", F.concat(F.lit("new "), "name"))
+    work = tables.work(spark, d)
+    row = {"candidate_id": F.col("id"), "company_name": F.concat(F.lit("New "), "code")}
+    fresh = again.select(*[(row.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in work.schema])
+    stored.stored_replace(made, again, {"work": fresh}, ["name"], f"{folder}/log", "third")
+    n = lambda name, *more: stored.read(spark, made[name]).groupBy(F.col("candidate_id").alias("id")).agg(F.count("*").alias(f"n_{name}"), *more)
+    found = stored.read(spark, made["candidates"]).join(n("work", F.min("company_name").alias("x")), "id", "left").join(n("skills"), "id", "left")
+    return found.select("id", "name", F.coalesce("n_work", F.lit(0)).alias("n_work"), F.coalesce("x", F.lit("")).alias("first_company"), F.coalesce("n_skills", F.lit(0)).alias("n_skills"))
+
+
+@_query(
+    """SELECT c.id, c.name, coalesce(w.x, '') AS companies, coalesce(s.n, 0) AS n_skills FROM candidates c
+    LEFT JOIN (SELECT candidate_id, string_agg(company_name, ',' ORDER BY seq, id) AS x FROM work GROUP BY 1) w ON w.candidate_id = c.id
+    LEFT JOIN (SELECT candidate_id, count(*) AS n FROM skills GROUP BY 1) s ON s.candidate_id = c.id WHERE c.id IN (1, 38, 75, 112, 100000000)"""
+)
+def point_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Details of five ids from tables stored in slices, which is the feature: other slices and row groups are left out."""
+    _, made = _sliced(spark, d)
+    ids = [1, 38, 75, 112, 100_000_000]
+    found = stored.stored_detail(spark, made, ids, {"work": ["company_name"]})
+    skills = reduce(DataFrame.unionByName, [stored.lookup(spark, made["skills"], i) for i in ids]).groupBy(F.col("candidate_id").alias("id")).agg(F.count("*").alias("n_skills"))
+    return found.join(skills, "id", "left").select("id", "name", _joined(F.col("work"), "company_name").alias("companies"), F.coalesce("n_skills", F.lit(0)).alias("n_skills"))
+
+
+@_query(
+    """, parts AS (SELECT id, name, id // 50 AS file, row_number() OVER (PARTITION BY id // 50 ORDER BY id) - 1 AS index FROM candidates)
+    SELECT CAST(file AS VARCHAR) AS file, CAST(index AS INTEGER) AS index, name, CAST(NULL AS VARCHAR) AS reason FROM parts WHERE file % 4 < 2 OR (file % 4 = 2 AND index = 0)
+    UNION ALL SELECT DISTINCT CAST(file AS VARCHAR), CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), CASE WHEN file % 8 = 3 THEN 'no JSON' ELSE 'neither an object nor an array' END FROM parts WHERE file % 4 = 3"""
+)
+def mixed_json_roots(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of files whose root is an array, an object with candidates, one object, a text, or broken: every record and every reject."""
+    folder = tables.scratch(spark)
+    one = F.concat(F.lit('{"name": "'), "name", F.lit('", "more": [1, {"a": null}]}'))
+    people = tables.candidates(spark, d).select("id", F.floor(F.col("id") / 50).alias("file"), one.alias("one"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("id", "one"))), lambda x: x["one"])
+    files = people.groupBy("file").agg(items.alias("items"))
+    kind, listed = F.pmod("file", F.lit(4)), F.concat(F.lit("["), F.array_join("items", ",\n"), F.lit("]"))
+    text = F.when(kind == 0, listed).when(kind == 1, F.concat(F.lit('{"candidates": '), listed, F.lit("}"))).when(kind == 2, F.get("items", 0))
+    text = text.otherwise(F.when(F.pmod("file", F.lit(8)) == 3, F.concat(F.lit("["), F.array_join("items", ","))).otherwise(F.lit('"text"')))
+    files.select("file", text.alias("value")).repartition("file").write.partitionBy("file").text(f"{folder}/in")
+    found = readers.read_records_json(spark, f"{folder}/in", "PERMISSIVE", "*.txt")
+    file = F.regexp_extract("path", "file=([0-9]+)/", 1).alias("file")
+    good = found.records.select(file, F.col("index").cast("int").alias("index"), F.get_json_object("raw", "$.name").alias("name"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(found.rejects.select(file, F.lit(None).cast("int").alias("index"), F.lit(None).cast("string").alias("name"), "reason"))
+
+
+@_query(
+    """, numbered AS (SELECT o_orderkey AS id, o_orderkey % 8 AS file, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) AS line FROM orders)
+    SELECT CAST(file AS VARCHAR) AS file, line, CASE WHEN id % 5 = 3 THEN NULL ELSE id END AS id, CASE WHEN id % 5 = 3 THEN '{"id": ' || CAST(id AS VARCHAR) END AS bad FROM numbered WHERE id % 5 <> 4"""
+)
+def bad_lines(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines in eight files with bad and blank ones among them: records and rejects with their numbers in the file."""
+    folder, five = tables.scratch(spark), F.pmod("o_orderkey", F.lit(5))
+    line = F.concat(F.lit('{"id": '), F.col("o_orderkey").cast("string"))
+    line = F.when(five == 3, line).when(five == 4, " ").otherwise(F.concat(line, F.lit("}")))
+    rows = tables.load(spark, d, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(8)).alias("file"), line.alias("value"))
+    rows.repartition(8, "file").sortWithinPartitions("file", "o_orderkey").select("file", "value").write.partitionBy("file").text(f"{folder}/in")
+    found = readers.read_records_jsonl(spark, f"{folder}/in", "PERMISSIVE")
+    file = F.regexp_extract("path", "file=([0-9]+)/", 1).alias("file")
+    good = found.records.select(file, "line", F.get_json_object("raw", "$.id").cast("long").alias("id"), F.lit(None).cast("string").alias("bad"))
+    return good.unionByName(found.rejects.select(file, "line", F.lit(None).cast("long").alias("id"), F.col("text").alias("bad")))
+
+
+def _model(asked):
+    """Scores by the customer's number; some requests are refused, to some there is no proper answer."""
+    numbers = asked.str.extract(r"Customer#(\d+)")[0].astype(int)
+    if (numbers % 11 == 0).any():
+        raise ValueError("refused")
+    return numbers.map(lambda n: "no answer" if n % 13 == 0 else '{"overall_score": %d}' % (n % 100))
+
+
+@_query(
+    """SELECT id AS candidate_id, CASE WHEN id % 11 > 0 AND id % 13 > 0 THEN CAST(id % 100 AS DOUBLE) END AS overall_score,
+    CASE WHEN id % 11 = 0 THEN 'request: ValueError: refused' WHEN id % 13 = 0 THEN 'reply: json' END AS failed FROM candidates"""
+)
+def resumed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of half the requests stored, then of all: the second run asks for the others and for what failed."""
+    folder, people = tables.scratch(spark), tables.candidates(spark, d)
+    jobs = spark.range(1).select("id", F.lit("{}").alias("source_json"))
+    requests = matching.match_requests(people, jobs, people.select(F.col("id").alias("candidate_id"), F.lit(0).cast("long").alias("job_id")))
+    matching.score_missing(requests.where("candidate_id % 2 = 0"), _model, folder, slices=2)
+    scores, rejects = matching.score_missing(requests, _model, folder, slices=2)
+    good = scores.select("candidate_id", "overall_score", F.lit(None).cast("string").alias("failed"))
+    return good.unionByName(rejects.select("candidate_id", F.lit(None).cast("double").alias("overall_score"), F.concat("stage", F.lit(": "), "reason").alias("failed")))
+
+
+@_query(
+    """, good AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM candidates WHERE id % 5 <> 2)
+    SELECT id, k AS stored_id, CASE WHEN id % 5 IN (0, 1) THEN CAST(id % 90 AS DOUBLE) END AS overall_score, CASE WHEN id % 5 = 3 THEN 'match.gaps' END AS fault FROM good
+    UNION ALL SELECT id, NULL, NULL, 'name' FROM candidates WHERE id % 5 = 2"""
+)
+def imported_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Records with good, bad and no scores imported into the stored tables; ids, scores and rejects from there."""
+    folder, five = tables.scratch(spark), F.pmod("id", F.lit(5))
+    number = F.col("id").cast("string")
+    score = F.concat(F.lit(', "match": {"overall_score": '), F.pmod("id", F.lit(90)).cast("string"), F.when(five == 3, ', "gaps": 7}').otherwise(', "gaps": ["g"]}'))
+    name = F.when(five == 2, number).otherwise(F.concat(F.lit('"'), "name", F.lit('"')))
+    raw = F.concat(F.lit('{"code_104": "'), number, F.lit('", "name": '), name, F.when(five < 4, score).otherwise(""), F.lit("}"))
+    rows = tables.candidates(spark, d).select(F.lpad(number, 9, "0").alias("path"), F.lit(0).alias("index"), raw.alias("raw"))
+    storage.import_with_scores(rows, folder)
+    read = lambda name: storage.stored_table(spark, folder, name)
+    scores = read("match_results").join(read("job_requirements").where("title = 'Imported Job Requirement'").select(F.col("id").alias("job_id")), "job_id").select("candidate_id", "overall_score")
+    faults = read("rejects").select(F.col("source").cast("long").alias("id"), F.col("reason").alias("fault"))
+    people = read("candidates").select(F.col("code").cast("long").alias("id"), F.col("id").alias("candidate_id")).join(scores, "candidate_id", "left").withColumnRenamed("candidate_id", "stored_id")
+    return people.join(faults, "id", "full").select("id", "stored_id", "overall_score", "fault")
