@@ -13,6 +13,8 @@ from ..labels import TRUNCATED
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: White space, that of other scripts and four control characters included; patterns with it carry UNICODE.
 SPACE = r"[\s\x1c-\x1f]"
+#: The same signs one by one: those that Unicode calls white space, and the four.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Flags: Unicode classes; only \n ends a line for ^, $ and the dot; ^ and $ at every line.
 UNICODE, LINES = "(?U)", "(?dmU)"
 #: The heading of a section; the white space after its marks may hold a line end.
@@ -21,7 +23,7 @@ HEADING = rf"{LINES}^(#{{1,4}}){SPACE}+(.+)$"
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, ideographic spaces included."""
-    return F.regexp_replace(c, rf"{UNICODE}^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lines(c: Column) -> Column:
@@ -45,7 +47,12 @@ def alternatives(words: tuple[str, ...]) -> str:
 
 def clean_cell(c: Column) -> Column:
     """Line-break tags become spaces."""
-    return strip(F.regexp_replace(c, rf"{UNICODE}<br{SPACE}*/?>", " "))
+    return strip(F.when(c.contains("<br"), F.regexp_replace(c, rf"{UNICODE}<br{SPACE}*/?>", " ")).otherwise(c))
+
+
+def has_colon(c: Column) -> Column:
+    """A cheap test before patterns that need a colon."""
+    return c.contains(":") | c.contains("：")
 
 
 def safe_name(c: Column, default: str = "") -> Column:
@@ -103,10 +110,8 @@ def table_rows(body: Column) -> Column:
     )
 
     def cells(line: Column) -> Column:
-        inner = F.split(line, r"\|")
-        inner = F.slice(inner, 2, F.size(inner) - 1)
-        kept = F.when(strip(F.try_element_at(inner, F.lit(-1))) == "", F.slice(inner, F.lit(1), F.size(inner) - 1)).otherwise(inner)
-        return F.transform(kept, clean_cell)
+        inner = lambda s: F.slice(s, F.lit(2), F.size(s) - F.when(strip(F.try_element_at(s, F.lit(-1))) == "", 2).otherwise(1))
+        return bound(F.split(line, r"\|"), lambda s: F.transform(inner(s), clean_cell))
 
     return F.transform(barred, cells)
 
@@ -117,7 +122,7 @@ def key_values(rows: Column) -> Column:
 
     def pairs(cells: Column) -> Column:
         def step(acc: Column, cell: Column) -> Column:
-            is_key = cell.rlike(rf"{UNICODE}[:：]{SPACE}*\z")
+            is_key = has_colon(cell) & cell.rlike(rf"{UNICODE}[:：]{SPACE}*\z")
             key = strip(F.replace(strip(F.regexp_replace(cell, rf"{UNICODE}(?:{SPACE}|\*)*[:：]{SPACE}*\z", "")), F.lit("*"), F.lit("")))
             paired = F.struct(acc["pending"].alias("key"), cell.alias("value"))
             return (

@@ -164,7 +164,7 @@ def summary(section: Column, ends: tuple[str, ...] = L.AFTER_SUMMARY) -> Column:
 
 def company_starts(joined: Column) -> Column:
     """Positions of texts that open a work entry."""
-    return F.filter(F.transform(joined, lambda x, i: F.when(x.contains("~") & x.rlike(T.UNICODE + COMPANY), i)), lambda x: x.isNotNull())
+    return F.filter(F.transform(joined, lambda x, i: F.when(x.contains("~") & x.contains("(") & x.rlike(T.UNICODE + COMPANY), i)), lambda x: x.isNotNull())
 
 
 def work_entries(opening: Column, starts: Column, pairs: Column, carried: Column | None = None) -> Column:
@@ -343,7 +343,7 @@ def _parser(context: SparkContext) -> tuple[_Steps, dict[str, Column]]:
     by_rows = F.size("_starts") > 0
     at = _with(at, {"_line_starts": F.when(by_rows, none).otherwise(company_starts(F.col("_work_lines")))})
     by_lines = F.size("_line_starts") > 0
-    line_pairs = F.transform("_work_lines", lambda x: T.keys_in_text(x, L.WORK_KEYS))
+    line_pairs = F.transform("_work_lines", lambda x: F.when(T.has_colon(x), T.keys_in_text(x, L.WORK_KEYS)).otherwise(_none(PAIRS)))
     at = _with(at, {"_line_pairs": F.when(by_lines, line_pairs).otherwise(_none(f"array<{PAIRS}>"))})
     before = F.flatten(F.slice("_line_pairs", F.lit(1), F.coalesce(F.get("_line_starts", F.lit(0)), F.lit(0))))
     at = _with(at, {"_before": before})

@@ -178,3 +178,39 @@ def test_sources_and_stream(spark, tmp_path):
     for _ in range(2):  # a restart adds nothing
         ingest_stream(spark, str(tmp_path / "md"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
         assert storage.stored_table(spark, str(tmp_path / "out"), "candidates").count() == 1
+
+
+def test_strip_knows_all_white_space(spark):
+    spaces = [chr(k) for k in range(0x3001) if chr(k).isspace()]
+    assert one(spark, text.strip, "".join(spaces) + "a b" + "".join(spaces)) == "a b"
+    assert one(spark, text.strip, "​a​") == "​a​"
+
+
+def test_names_alone_need_the_basic_section_alone(spark):
+    df = spark.createDataFrame([(1, PERSON)], "id int, markdown string")
+    plan = lambda *c: records.parse_records(df, keep=["id"]).select("id", *c)._jdf.queryExecution().optimizedPlan().toString()
+    name, work = plan("name"), plan("work")
+    assert "_basic_rows" in name and not any(c in name for c in ("_work", "_contact", "_skills", "_tables", "_attached"))
+    assert "_work_rows" in work and not any(c in work for c in ("_contact", "_skills", "_basic_rows"))
+    clash = df.select("id", "markdown", *[F.lit(k).alias(c) for k, c in enumerate(("_md", "_basic", "name", "_kept"))])
+    r = records.parse_records(clash, keep=["id", "_md", "_basic", "_kept"]).first()
+    assert (r["_md"], r["_basic"], r["_kept"], r["name"]) == (0, 1, 3, "Ann Lee")
+
+
+def test_time_grows_with_the_pairs_alone(spark):
+    import time
+
+    def seconds(n):
+        rows = "".join(f"| key{k}： | value {k} | 國籍： | Peru{k} |\n| 1. | x |\n" for k in range(n))
+        body = f"# 基本資料\n| 姓名： | Ann |\n{rows}## 聯絡方式\n{rows}## 求職條件\n| 求職條件 |\n{rows}" + "".join(f"## s{k}\n" for k in range(n))
+        df = spark.createDataFrame([(1, body)], "id int, markdown string")
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            r = records.parse_records(df).first()
+            best = min(best, time.perf_counter() - start)
+        assert (r["name"], r["nationality"]) == ("Ann", f"Peru{n - 1}")
+        return best
+
+    small, large = seconds(500), seconds(4000)
+    assert large < 16 * small  # 8 times the pairs; the square would be 64 times
