@@ -15,13 +15,15 @@ from .batches import map_texts
 WINDOW = 3
 #: Text in a window surges where it reaches this share of the page's typical line, and dives below it.
 SURGE = 0.25
+#: What a character outside an element that marks the article weighs, on pages that have one.
+OUTSIDE = 0.1
 #: What ends a sentence: a line of plain sentences far from the large text may belong to it.
 SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$").search
 
 #: Comments, elements whose content is not text, and tags; the rest is text.
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(script|style|noscript|template|iframe|svg|title|textarea|select|button|object|math)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)
+    |<(script|style|noscript|template|iframe|svg|title|textarea|select|button|object)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)
     |<[/!?]?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>
     |<[/!?]?[a-zA-Z][^>]*+(?:>|\Z)""",
     re.S | re.I | re.X,
@@ -31,29 +33,47 @@ HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)
 
 #: Elements that don't end the line they stand in.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle semantics annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements around the article, and words in class, id or role that mark such parts.
 ASIDE = frozenset("nav footer aside form menu dialog".split())
+#: Of these some frameworks put one around the whole page; around an article they are no sign.
+WRAPPERS = frozenset("form menu dialog".split())
 _WORDS = (
     r"(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|footer|gdpr"
-    r"|login|masthead|menu|nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo|promoted|related|replies|search|share|sharing|sidebar"
-    r"|signup|skip|social|sponsor(?:ed)?|subscribe|toolbar|widget)"
+    r"|login|masthead|menu|nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo|promoted|related|replies|respond|search|share|sharing|sidebar"
+    r"|signup|skip|social|sponsor(?:ed)?|subscribe|teasers?|toolbar|widget)"
 )
 ASIDE_WORDS = re.compile(rf"(?<!\S){_WORDS}(?!\S)", re.I)
 #: A part of a name is weaker evidence: names of pages that have or lack such a part don't count.
 ASIDE_PARTS = re.compile(rf"(?<!\S)(?!(?:no|not|with|without|has|have|hide|show|is)[_-])(?:\S*[_-])?{_WORDS}(?:[_-]\S*)?(?!\S)", re.I)
 MAIN = frozenset(("article", "main"))
+#: Names of articles that aren't the page's.
+OWN_ARTICLES = re.compile(r"(?<!\S)(?:comments?|teasers?|promo|promoted|related|sponsor(?:ed)?|advert(?:isement)?)(?!\S)", re.I)
 #: A header of the page is left out, one inside the article isn't.
 HEADER = "header"
 
 
-def page_lines(page: str, parts_count: bool = True, reopened: bool = False) -> list[tuple[str, bool, bool, float]]:
+def wrapped(page: str) -> bool:
+    """Whether an article or main stands in a form, menu or dialog."""
+    if not any(f"<{w}" in page.lower() for w in WRAPPERS):
+        return False
+    open_, found = 0, False
+    for m in re.finditer(r"<(/?)(form|menu|dialog|article|main)\b", page, re.I):
+        if m.group(2).lower() in MAIN:
+            found = found or open_ > 0 and not m.group(1)
+        else:
+            open_ = max(0, open_ + (-1 if m.group(1) else 1))
+    return found
+
+
+def page_lines(page: str, parts_count: bool = True, reopened: bool = False, wrappers: bool = True) -> list[tuple[str, bool, bool, float]]:
     """Lines of text in page order: the text, whether it is beside the article, whether in it, the share in links.
 
     With ``parts_count`` a part of a class name marks what is beside the
-    article. With ``reopened`` an article inside an element so marked is none
+    article; without ``wrappers`` a form, menu or dialog doesn't. With ``reopened`` an article inside an element so marked is none
     the less an article; inside elements that are never around one it isn't.
 
     Markup is stripped; every element that is not inline ends a line. White
@@ -103,6 +123,8 @@ def page_lines(page: str, parts_count: bool = True, reopened: bool = False) -> l
         if name in INLINE:
             if name == "a":
                 in_link = not named.group(1)
+            elif name == "br":
+                parts.append(" ")
             continue
         close_line()
         if named.group(1):
@@ -112,11 +134,13 @@ def page_lines(page: str, parts_count: bool = True, reopened: bool = False) -> l
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and order and order[-1] == name:
                 closed_from(depth - 1)  # their end tags may be left out
             hints = " ".join("".join(x) for x in HINT.findall(tag))
-            if hints and name not in MAIN and name not in ("body", "html") and words.search(hints):
+            # Comments and teasers are often articles of their own.
+            named = hints and name not in ("body", "html") and (name not in MAIN and words.search(hints) or name in MAIN and OWN_ARTICLES.search(hints))
+            if named:
                 named_off.append(depth)
-            if name in ASIDE or (name == HEADER and not mains):
+            if name in ASIDE and (wrappers or name not in WRAPPERS) or (name == HEADER and not mains):
                 off.append(depth)
-            if name in MAIN:
+            if name in MAIN and not named:
                 mains.append(depth)
             names.setdefault(name, []).append(depth)
             order.append(name)
@@ -160,9 +184,11 @@ def main_text(page: str | None) -> str:
     that are mostly links are left out. A line elsewhere is kept if it ends like
     a sentence and is no link.
 
-    Tags change weights: lines beside the article weigh nothing, and where the
-    page marks an article that holds text, its lines reach the threshold by
-    themselves, so all are kept, and all others weigh nothing.
+    Tags change weights: lines beside the article weigh nothing. Where the page
+    marks an article that holds text, its lines weigh a typical line more, so
+    each makes its windows surge, and text outside it weighs OUTSIDE of its
+    length: sentences there are kept where windows of them alone surge, as
+    where only the first part of a long text is marked.
 
     Parts of class names only count where most of the page isn't lost by them,
     and an article inside an element named as if beside it is taken where it
@@ -172,27 +198,33 @@ def main_text(page: str | None) -> str:
         return ""
     size = lambda found: sum(len(x[0]) for x in found)
     plain = lambda found: [x for x in found if not x[1]]
-    lines = page_lines(page)
+    wrappers = not wrapped(page)
+    lines = page_lines(page, wrappers=wrappers)
     if 2 * size(plain(lines)) < size(lines):
-        others = page_lines(page, parts_count=False)
+        others = page_lines(page, parts_count=False, wrappers=wrappers)
         if size(plain(others)) > 2 * size(plain(lines)):
             lines = others
     if not any(x[2] and x[0] for x in plain(lines)) and any(x[2] for x in lines):
-        others = page_lines(page, parts_count=False, reopened=True)
+        others = page_lines(page, parts_count=False, reopened=True, wrappers=wrappers)
         if size(x for x in plain(others) if x[2]) > size(plain(lines)):
             lines = others
-    if any(x[2] and x[0] for x in plain(lines)):
-        weights = [float(bool(x[0]) and x[2] and not x[1]) for x in lines]
-        runs = line_blocks(weights, 1.0, 1)
+    own = [0.0 if x[1] else len(x[0]) * (1 - x[3]) for x in lines]
+    text = [w if 2 * w > len(x[0]) else 0.0 for w, x in zip(own, lines, strict=True)]
+    inside = [bool(x[0]) and x[2] and not x[1] for x in lines]
+    if any(inside):
+        # Marked: each line of the article surges by itself, others only where much text stands together.
+        length = [float(len(x[0])) if i else 0.0 for x, i in zip(lines, inside, strict=True)]
+        typical = sum(w * w for w in length) / sum(length)
+        weights = [typical + w if i else OUTSIDE * t for w, t, i in zip(length, text, inside, strict=True)]
+        least = SURGE * typical
+        held = {k for a, b in line_blocks(weights, least) for k in range(a, b) if inside[k]}
+        apart = [0.0 if i else w for w, i in zip(weights, inside, strict=True)]
+        held |= {k for a, b in line_blocks(apart, least) for k in range(a, b) if apart[k] and SENTENCE(lines[k][0])}
     else:
-        weights = [0.0 if x[1] else len(x[0]) * (1 - x[3]) for x in lines]
-        typical = sum(w * w for w in weights) / (sum(weights) or 1.0)
-        runs = line_blocks(weights, SURGE * typical)
-        weights = [w if 2 * w > len(x[0]) else 0.0 for w, x in zip(weights, lines, strict=True)]
-        alone = [(k, k + 1) for k, x in enumerate(lines) if weights[k] and x[3] == 0 and SENTENCE(x[0])]
-        runs = sorted({k for a, b in runs + alone for k in range(a, b)})
-        runs = [(k, k + 1) for k in runs]
-    return "\n".join(lines[k][0] for a, b in runs for k in range(a, b) if weights[k])
+        typical = sum(w * w for w in own) / (sum(own) or 1.0)
+        held = {k for a, b in line_blocks(own, SURGE * typical) for k in range(a, b) if text[k]}
+        held |= {k for k, x in enumerate(lines) if text[k] and x[3] == 0 and SENTENCE(x[0])}
+    return "\n".join(lines[k][0] for k in sorted(held))
 
 
 def extract_main_text(
