@@ -9,7 +9,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import labels
+from .. import labels, schemas
 from ..functions import text
 from ..functions.text import score_band, score_label
 from ..operators import changes, chunks, matching, records, relational, storage, stored
@@ -758,3 +758,120 @@ def imported_scores(spark: SparkSession, d: str) -> DataFrame:
     faults = read("rejects").select(F.col("source").cast("long").alias("id"), F.col("reason").alias("fault"))
     people = read("candidates").select(F.col("code").cast("long").alias("id"), F.col("id").alias("candidate_id")).join(scores, "candidate_id", "left").withColumnRenamed("candidate_id", "stored_id")
     return people.join(faults, "id", "full").select("id", "stored_id", "overall_score", "fault")
+
+
+@_query(
+    """, gone AS (SELECT id FROM candidates WHERE id % 4 = 1), people AS (SELECT id FROM candidates WHERE id % 4 <> 1)
+    SELECT 'candidates' AS t, count(*) AS n FROM people UNION ALL SELECT 'work_experiences', count(*) FROM work WHERE candidate_id % 4 <> 1
+    UNION ALL SELECT 'education', count(*) FROM education WHERE candidate_id % 4 <> 1 UNION ALL SELECT 'skills', count(*) FROM skills WHERE candidate_id % 4 <> 1
+    UNION ALL SELECT 'references_', count(*) FROM people UNION ALL SELECT 'attachments', 2 * count(*) FROM people
+    UNION ALL SELECT 'match_results', count(*) FROM matches WHERE candidate_id % 4 <> 1"""
+)
+def all_tables_cascaded(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates deleted with their rows in all six tables that refer to them."""
+    people, one = tables.candidates(spark, d), lambda n: F.explode(F.array_repeat(F.lit("x"), n))
+    children = {
+        "work_experiences": tables.work(spark, d), "education": tables.education(spark, d), "skills": tables.skills(spark, d), "match_results": tables.matches(spark, d),
+        "references_": people.select(F.col("id").alias("candidate_id"), one(1).alias("ref_name")), "attachments": people.select(F.col("id").alias("candidate_id"), one(2).alias("name")),
+    }
+    parent, rest = changes.cascade_delete(people.where("id % 4 = 1"), people, children)
+    return reduce(DataFrame.unionByName, [t.agg(F.lit(n).alias("t"), F.count("*").alias("n")) for n, t in {"candidates": parent, **rest}.items()])
+
+
+@_query(
+    """SELECT CAST(id // 10 AS VARCHAR) AS source, CASE WHEN id % 3 = 1 THEN 'candidate_' || CAST(k AS VARCHAR) ELSE name || CASE WHEN id % 3 = 0 THEN ' ♂' ELSE '' END END AS log_name,
+    'candidate_' || CAST(k AS VARCHAR) || '_' || CASE WHEN id % 3 = 1 THEN 'candidate_' || CAST(k AS VARCHAR) ELSE replace(name, '#', '') END AS folder, code
+    FROM (SELECT *, row_number() OVER (PARTITION BY id // 10 ORDER BY id) AS k FROM candidates)"""
+)
+def stored_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of ten people each, split, each part stored by its source under a safe name, and read back."""
+    folder = tables.scratch(spark)
+    people = rendering.rendered(spark, d).select("candidate_id", F.regexp_replace("markdown", "姓名： ", "姓名: ").alias("m"), F.floor(F.col("candidate_id") / 10).cast("string").alias("source"))
+    odd = F.when(F.pmod("candidate_id", F.lit(3)) == 2, F.concat(F.lit("# 基本資料\n| 姓/名: | Customer#"), F.lpad(F.col("candidate_id").cast("string"), 9, "0"), F.lit(" |\n"), F.regexp_replace("m", "# 基本資料", "x")))
+    odd = odd.when(F.pmod("candidate_id", F.lit(3)) == 0, F.regexp_replace("m", r"\| 姓名: \|", "| 姓/名: |")).otherwise(F.col("m"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", odd.alias("x")))), lambda x: x["x"]), "\n")
+    storage.write_split_documents(records.split_people(people.groupBy("source").agg(text.alias("text")), keep=["source"]), f"{folder}/parts")
+    code = F.regexp_extract("markdown", r"104代碼[：:*| ]+(\d+)", 1)
+    return spark.read.parquet(f"{folder}/parts").select(F.col("source").cast("string").alias("source"), "log_name", "folder", code.alias("code"))
+
+
+@_query(
+    """SELECT 'ok' AS status, count(*) AS n FROM candidates WHERE id % 7 NOT IN (3, 4) UNION ALL SELECT 'failed', count(*) FROM candidates WHERE id % 7 = 3
+    UNION ALL SELECT 'empty', count(*) FROM candidates WHERE id % 7 = 4"""
+)
+def dry_run_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents parsed and counted by status, nothing written."""
+    seven = F.pmod("candidate_id", F.lit(7))
+    files = rendering.rendered(spark, d).select(F.col("candidate_id").cast("string").alias("path"), F.when(seven == 3, "\n").when(seven == 4, "nothing here").otherwise(F.col("markdown")).alias("text"))
+    return storage.batch_import(files, None, split=False, dry_run=True)
+
+
+@_query(
+    """SELECT id, CASE WHEN id % 5 IN (0, 1) THEN name ELSE 'old' END AS name, CASE WHEN id % 5 IN (0, 1) THEN nationality ELSE 'old' END AS nationality, CASE id % 5 WHEN 2 THEN 'no text' END AS reason FROM candidates
+    UNION ALL SELECT -1, NULL, NULL, 'missing'"""
+)
+def reparsed_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Stored rows read again from their texts and put in their place; ids without a row or a text are rejects."""
+    five = F.pmod("id", F.lit(5))
+    stale = rendering.rendered(spark, d).select(F.col("candidate_id").alias("id"), F.lit("old").alias("name"), F.lit("old").alias("nationality"), F.col("markdown").alias("raw_markdown"))
+    stale = stale.withColumn("raw_markdown", F.when(five == 2, "").otherwise(F.col("raw_markdown")))
+    asked = stale.where(five < 3).select("id").unionByName(spark.range(1).select((F.col("id") - 1).alias("id")))
+    again, rejects = changes.reparse(stale, asked)
+    parent, _ = changes.replace_candidates(stale, {}, again, {}, ["name", "nationality"])
+    return parent.join(rejects, "id", "full").select("id", "name", "nationality", "reason")
+
+
+@_query("SELECT id, name, CAST(NULL AS VARCHAR) AS nationality FROM candidates WHERE id % 2 = 0 UNION ALL SELECT id, name, nationality FROM candidates WHERE id % 2 = 1")
+def evolved_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Files written before a column was declared and after it, in another order of columns, read as one table."""
+    folder, people = tables.scratch(spark), tables.candidates(spark, d)
+    people.where("id % 2 = 0").select("name", "id").write.parquet(f"{folder}/old")
+    people.where("id % 2 = 1").select("nationality", "id", "code", "name").write.parquet(f"{folder}/new")
+    declared = people.select("id", "name", "nationality").schema
+    return schemas.checked(spark, [f"{folder}/old", f"{folder}/new"], declared)
+
+
+@_query(
+    """SELECT id, CASE WHEN id % 2 = 0 THEN 'AA,B b' ELSE '' END AS categories, nationality || CASE WHEN id % 3 = 0 THEN ',Second' ELSE '' END AS locations, 'Dev,Lead of ' || code AS positions,
+    'https://www.linkedin.com/in/x_' || code AS link FROM candidates"""
+)
+def parse_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists and links of the basic section: categories beside their key, places, positions, a profile link with marks of escape."""
+    c = F.col
+    second = F.when(F.pmod("id", F.lit(3)) == 0, "、Second").otherwise("")
+    wanted = F.when(F.pmod("id", F.lit(2)) == 0, F.lit("| 希望職務類別： | AA、B b、C | x |\n")).otherwise("")
+    md = F.concat(
+        F.lit("# 基本資料\n| 姓名： | "), "name", F.lit(" |\n"), wanted, F.lit("| 希望⼯作地點： | "), "nationality", second, F.lit(" |\n| 理想職務： | Dev  Lead of "), "code",
+        F.lit(" |\nLinkedIn: [https://www.linkedin.com/in/x\\_"), "code", F.lit("](y)\n"),
+    )
+    people = tables.candidates(spark, d).select("id", md.alias("markdown"))
+    found = records.parse_records(people, keep=["id"])
+    return found.select("id", *[F.array_join(n, ",").alias(a) for n, a in (("desired_job_categories", "categories"), ("desired_locations", "locations"), ("ideal_positions", "positions"))], c("linkedin_url").alias("link"))
+
+
+@_query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS note, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 2 END AS n, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'a"b,' || o_orderstatus END AS items FROM orders"""
+)
+def filled_records(spark: SparkSession, d: str) -> DataFrame:
+    """Lists stored as JSON text and nulls, read back as records: lists decoded, nulls empty."""
+    lists = F.when(F.pmod("o_orderkey", F.lit(4)) == 0, F.when(F.pmod("o_orderkey", F.lit(8)) == 0, "")).otherwise(text.encode_list(F.array(F.lit('a"b'), "o_orderstatus")))
+    rows = tables.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.pmod("o_orderkey", F.lit(3)) != 0, F.col("o_orderpriority")).alias("note"), lists.alias("items"))
+    found = records.imported(rows, ["items"])
+    return found.select("id", "note", F.size("items").alias("n"), F.array_join("items", ",").alias("items"))
+
+
+@_query(
+    """SELECT id, CASE WHEN id % 2 = 0 THEN name END AS m_school, CASE WHEN id % 4 = 0 THEN 'MBA ' || code WHEN id % 4 = 2 THEN '研究所' END AS m_department,
+    CASE WHEN id % 3 > 0 THEN name END AS b_school, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 4 = 0 THEN 'Law' WHEN id % 4 = 2 THEN 'Art' WHEN id % 4 = 1 THEN 'Design' ELSE '' END AS b_department FROM
+    (SELECT id, code, CASE WHEN id % 3 = 0 THEN NULL ELSE name END AS b, name FROM candidates)"""
+)
+def own_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees from departments and from candidates' own majors, where no record has one."""
+    c, four, three = F.col, F.pmod("id", F.lit(4)), F.pmod("id", F.lit(3))
+    major = F.when(four == 0, F.concat(F.lit("Law、MBA "), "code")).when(four == 2, "Art，研究所").when(four == 1, "Design").otherwise("")
+    record = F.struct(F.lit("s").alias("school"), F.lit("x, MBA").alias("department"), F.lit("").alias("degree_level"))
+    people = tables.candidates(spark, d).withColumn("major", major)
+    people = people.withColumn("education", F.when(F.lit(False), F.array(record)).otherwise(F.filter(F.array(record), lambda x: F.lit(False))))
+    school = F.when(three != 0, c("name"))
+    found = people.select("id", relational.masters_record(c("education"), c("name"), c("major")).alias("m"), relational.university_record(c("education"), school, c("major")).alias("b"))
+    return found.select("id", c("m.school").alias("m_school"), c("m.department").alias("m_department"), c("b.school").alias("b_school"), c("b.department").alias("b_department"))
