@@ -20,6 +20,8 @@ from .store import input_partitions, written
 TILE, TILE_BYTES, FIT = 16_384, 32_000_000, 4096
 #: Dimensions summed up before a pair is first judged, as a share of all.
 LEADING = 0.375
+#: Pairs of a tile pair that are held at once, and values of their vectors.
+PAIRS, VALUES = 1_000_000, 2_000_000
 #: Bounds are widened by this much against rounding.
 SLACK = 1e-9
 
@@ -33,56 +35,72 @@ def principal_axes(vectors: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(vectors.T @ vectors)[1][:, ::-1]
 
 
-def similar_pairs(a: np.ndarray, b: np.ndarray, threshold: float, leading: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``a`` and ``b``, unit vectors along the axes, with cosine >= threshold.
+def similar_pairs(a: np.ndarray, b: np.ndarray, threshold: float, leading: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``a`` and ``b``, unit vectors along the axes, with cosine >= threshold, some rows of ``a`` at a time.
 
     The leading dimensions are multiplied for all pairs. The rest of a pair can
     add no more than the product of its suffix norms; where the sum can't reach
     the threshold the pair is done. Twice as many dimensions judge the pairs
-    left, and all dimensions, in double precision, those left then.
+    left, and all dimensions, in double precision, those left then. Where an
+    eighth of all pairs are left, the rest is multiplied for all of them.
+
+    Never more than about PAIRS pairs are held, however many are linked.
     """
+    dims = a.shape[1]
     rest_a = np.sqrt(np.maximum(1 - (a[:, :leading] ** 2).sum(1), 0))
     rest_b = np.sqrt(np.maximum(1 - (b[:, :leading] ** 2).sum(1), 0))
-    rows, cols = [], []
-    for at in range(0, len(a), 512):  # bounds the memory of a tile pair
-        bound = a[at : at + 512, :leading] @ b[:, :leading].T
-        bound += rest_a[at : at + 512, None] * rest_b[None, :]
-        i, j = np.nonzero(bound >= threshold - SLACK)
-        rows.append(i + at)
-        cols.append(j)
-    i, j = np.concatenate(rows), np.concatenate(cols)
-    more = min(2 * leading, a.shape[1])
-    for upto in (more, a.shape[1]):
-        keep = []
-        for at in range(0, len(i), 100_000):
-            x, y = a[i[at : at + 100_000]], b[j[at : at + 100_000]]
-            bound = np.einsum("ij,ij->i", x[:, :upto], y[:, :upto])
-            if upto < a.shape[1]:
-                bound = bound + np.sqrt(np.maximum((x[:, upto:] ** 2).sum(1) * (y[:, upto:] ** 2).sum(1), 0)) + SLACK
-            keep.append(bound >= threshold)
-        if keep:
-            keep = np.concatenate(keep)
-            i, j = i[keep], j[keep]
-    return i, j
-
-
-def _forest(i: np.ndarray, j: np.ndarray, size: int) -> list[int]:
-    """Positions of the pairs that join two groups not joined before."""
-    parent = list(range(size))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    chosen = []
-    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        x, y = top(x), top(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            chosen.append(k)
-    return chosen
+    more = min(2 * leading, dims)
+    some, few = max(1, min(512, PAIRS // max(1, len(b)))), max(256, VALUES // dims)
+    for at in range(0, len(a), some):
+        block = a[at : at + some]
+        sums = block[:, :leading] @ b[:, :leading].T
+        i, j = np.nonzero(sums + rest_a[at : at + some, None] * rest_b[None, :] >= threshold - SLACK)
+        if 8 * len(i) > sums.size:
+            sums += block[:, leading:] @ b[:, leading:].T
+            i, j = np.nonzero(sums >= threshold)
+            yield i + at, j
+            continue
+        del sums
+        for upto in (more, dims):
+            keep = [np.zeros(0, bool)]
+            for k in range(0, len(i), few):
+                x, y = block[i[k : k + few]], b[j[k : k + few]]
+                bound = np.einsum("ij,ij->i", x[:, :upto], y[:, :upto])
+                if upto < dims:
+                    bound = bound + np.sqrt(np.maximum((x[:, upto:] ** 2).sum(1) * (y[:, upto:] ** 2).sum(1), 0)) + SLACK
+                keep.append(bound >= threshold)
+            kept = np.concatenate(keep)
+            i, j = i[kept], j[kept]
+        yield i + at, j
+
+
+class Forest:
+    """Groups of joined positions."""
+
+    def __init__(self, size: int):
+        self.parent = np.arange(size)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Join positions pair by pair; which of the pairs joined two groups not joined before."""
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
+        parent, x, y = self.parent, self.parent[i], self.parent[j]
+        apart = np.flatnonzero(x != y)
+        _, first = np.unique(x[apart] * len(parent) + y[apart], return_index=True)
+        chosen, apart = [], apart[first]
+
+        def top(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        for k, p, q in zip(apart.tolist(), x[apart].tolist(), y[apart].tolist(), strict=True):
+            p, q = top(p), top(q)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                chosen.append(k)
+        return np.array(chosen, dtype=np.int64)
 
 
 def near_vectors(
@@ -98,7 +116,8 @@ def near_vectors(
     along principal axes, sorted by the first and cut into tiles of up to about
     ``tile`` (a quarter more at most); two tiles meet only if their ranges on that axis are near enough for unit vectors at
     the threshold. A tile pair is one bounded task: it returns the links of
-    each vector as a sum and a spanning forest of its links, never all pairs.
+    each vector as a sum and a spanning forest of its links, and holds about
+    PAIRS of them at once, so a group in which all are linked takes no more memory.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing. Vectors of another length than the commonest one are
@@ -232,15 +251,19 @@ def _compare(distinct: DataFrame, dims: int, threshold: float, tile: int | None)
                 reps_a, reps_b = numbers("reps_i"), numbers("reps_j")
                 count_a, count_b = numbers("copies_i"), numbers("copies_j")
                 a = rotated(get("vectors_i"))
-                i, j = similar_pairs(a, a if same else rotated(get("vectors_j")), threshold, leading)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                links_a = np.bincount(i, weights=count_b[j], minlength=len(reps_a)).astype("i8")
-                links_b = np.bincount(j, weights=count_a[i], minlength=len(reps_b)).astype("i8")
-                reps, links = np.concatenate([reps_a, reps_b]), np.concatenate([links_a, links_b])
+                links_a, links_b = np.zeros(len(reps_a)), np.zeros(len(reps_b))
+                forest, starts, ends = Forest(len(reps_a) + len(reps_b)), [np.zeros(0, "<i8")], [np.zeros(0, "<i8")]
+                for i, j in similar_pairs(a, a if same else rotated(get("vectors_j")), threshold, leading):
+                    if same:
+                        i, j = i[i < j], j[i < j]
+                    links_a += np.bincount(i, weights=count_b[j], minlength=len(reps_a))
+                    links_b += np.bincount(j, weights=count_a[i], minlength=len(reps_b))
+                    chosen = forest.add(i, j if same else j + len(reps_a))
+                    starts.append(reps_a[i[chosen]])
+                    ends.append(reps_b[j[chosen]])
+                reps, links = np.concatenate([reps_a, reps_b]), np.concatenate([links_a, links_b]).astype("i8")
                 reps, links = reps[links > 0], links[links > 0]
-                chosen = _forest(i, j if same else j + len(reps_a), len(reps_a) + len(reps_b))
-                start, end = reps_a[i[chosen]], reps_b[j[chosen]]
+                start, end = np.concatenate(starts), np.concatenate(ends)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([start, reps]), pa.int64()),
