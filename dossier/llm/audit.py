@@ -82,7 +82,9 @@ def audit_masks(counts: DataFrame, names: str, measures: tuple[str, ...] = ("goo
     fails = [F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.col("n")).otherwise(0)) for i in range(k)]
     only = [F.sum(F.when(F.col("mask") == (1 << i), F.col("n")).otherwise(0)) for i in range(k)]
     totals = counts.groupBy("part").agg(F.sum("n").alias("total"), F.array(*fails).alias("fails"), F.array(*only).alias("only"))
-    grid = totals.join(F.broadcast(orders(spark, names)))  # the orders are constants: k! k rows
+    cells = totals.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(factorial(k) * k - 1))))
+    cells = cells.withColumns({"rank": F.floor(F.col("_cell") / k).cast("int"), "step": (F.pmod("_cell", F.lit(k)) + 1).cast("int")}).drop("_cell")
+    grid = cells.join(F.broadcast(orders(spark, names)), ["rank", "step"])  # the orders are constants: k! k rows
     along = Window.partitionBy("part", "step").orderBy("rank")
     grid = grid.join(steps, ["part", "step", "rank"], "left").withColumns({s: F.sum(F.coalesce(F.col(s), F.lit(0))).over(along) for s in sums})
     down = Window.partitionBy("part", "rank").orderBy("step")
