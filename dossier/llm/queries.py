@@ -60,7 +60,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
-    return quality(_table(spark, sf_dir, "documents"))
+    return quality(_table(spark, sf_dir, "documents"), labels=_table(spark, sf_dir, "labels"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,66 @@ def test_quality_bands_widen_with_the_corpus(spark):
     assert set(found) == {"en"} and found["en"] == pytest.approx((2.25 - FENCE / 2, 2.75 + FENCE / 2, 0.01, 6.0), abs=0.1)
 
 
+def test_quality_figures_are_those_of_the_libraries(spark, docs):
+    import math
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    signs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    entropy = lambda ids: -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values())
+    for i, r in rows(spark, "op8_quality").items():
+        text = docs[i]
+        lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+        assert (r["n_symbols"], r["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)))
+        one, two = pieces.encode(text), signs.encode(text, add_special_tokens=False).ids
+        assert r["n_tokens"] == len(one)
+        if one:
+            want = (len(text) / len(one), sum(map(pieces.is_byte, one)) / len(one), entropy(one), len(text) / len(two), entropy(two))
+            names = ("chars_per_token", "byte_share", "token_entropy", "chars_per_token_2", "token_entropy_2")
+            assert [r[c] for c in names] == pytest.approx(want, abs=1e-9)
+
+
+def test_quality_learns_edges_that_hold_for_other_documents(spark):
+    from dossier.llm.quality import quality
+
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    labels = table("labels")
+    judged = quality(table("documents"), labels=labels.where("doc_id % 2 = 0")).where("not base_failed")
+    kept = judged.join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("quality").agg({"*": "count", "kept": "max"})
+    shares = judged.join(labels.where("doc_id % 2 = 1"), "doc_id").selectExpr("quality", "cast(kept as double) k").groupBy("quality").avg("k")
+    assert {r["quality"]: r["count(1)"] for r in kept.collect()} == {0: 17, 1: 177}
+    found = {r["quality"]: r["avg(k)"] for r in shares.collect()}
+    assert found[1] >= 0.98 and found[0] <= 0.2
+
+
+def test_quality_keeps_real_sentences_whatever_it_learned(spark):
+    from dossier.llm.quality import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    made = [(-1 - k, lang, " ".join(text.split()[:n])) for n in (55, 500) for k, (lang, text) in enumerate(PROSE.items(), n)]
+    made += [(-9000, "en", "The quick brown fox jumps over the lazy dog. " * 3 + PROSE["en"]), (-9001, "xx", PROSE["fr"])]
+    both = docs.unionByName(spark.createDataFrame(made, "doc_id long, lang string, text string"))
+    got = quality(both, labels=spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).where("doc_id < 0").collect()
+    assert len(got) == 10 and all(r["kept"] for r in got)
+
+
+def test_quality_edges_that_do_not_tell_are_not_used(spark):
+    from dossier.llm.quality import LEARNED, learned_edges
+
+    fields = ", ".join(f"{c} double" for c in LEARNED)
+    rows = [("en", 2000, k % 2 == 0, False, 2.6 + k % 10 / 100 - (k % 2) * 0.9, 6.0 + k % 10 / 100, 2.0, 6.0) for k in range(400)]
+    df = spark.createDataFrame(rows, f"lang string, n_tokens long, good boolean, base_failed boolean, {fields}")
+    found = learned_edges(df, df["lang"], df["good"])
+    assert set(found) == {"en"} and found["en"][1:] == [None, None, None]
+    centre, reach = found["en"][0]
+    assert 1.79 < centre - reach < 2.6
+    assert learned_edges(df.where("false"), df["lang"], df["good"]) == {}
+    assert learned_edges(df.where("good"), df["lang"], df["good"])["en"] == [None] * 4
+
+
 def test_mixing_keeps_within_a_block(spark, docs):
     got = QUERIES["op10_mixing"](spark, DATA).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(docs)

@@ -58,3 +58,12 @@ def test_one_row_of_each_group_stays(spark):
     rows = [(1, "a b c"), (1, "a b c"), (1, "d e f"), (2, "a b c"), (3, near), (3, near + " end"), (4, near), (5, "d e f"), (6, "x y z"), (None, "x y z")]
     out = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(((r["doc_id"] or 0), r["text"][:5]) for r in out) == [(0, "x y z"), (1, "a b c"), (1, "d e f"), (3, near[:5]), (6, "x y z")]
+
+
+def test_results_of_a_stage_outlast_the_next_call(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for sf_dir in ("", "/root/testdata/sf0.001"):
+        one, two = corpus_pipeline.keep_good(spark, docs, sf_dir), corpus_pipeline.keep_good(spark, docs, sf_dir)
+        assert one.count() == two.count() > 0
+    one, two = (corpus_pipeline.keep_one_of_each_group(spark, docs, "") for _ in range(2))
+    assert one.count() == two.count() > 0
