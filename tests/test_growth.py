@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text
 from dossier.operators import changes, published, records, storage
+from dossier.sources import files
 
 
 def test_running_text_is_cut_once_for_all_its_keys(spark):
@@ -33,6 +34,29 @@ def test_lines_with_and_without_other_ends(spark):
     assert all(r["new"] == r["old"] for r in rows)
 
 
+def test_people_of_a_file_read_in_splits(spark, tmp_path):
+    h = "# 基本資料"
+    texts = {
+        "a": f"{h}\nx\n\n## {h[2:]}\ny\n" * 30, "b": f"  pre \r\n{h}\r\n{h}\nz ", "c": f"\n \n{h} \n{h}\n", "d": "no heading\nat all\n",
+        "e": " \n\n", "f": "\n", "g": f"####### {h[2:]}\n###### {h[2:]}\n　q　\n", "h": f"\n\n{h}", "i": " ",
+    }
+    for n, t in texts.items():
+        (tmp_path / n).write_bytes(t.encode())
+    read = lambda **how: spark.read.text(str(tmp_path), **how)
+    path = F.col("_metadata.file_path").alias("path")
+    whole = records.split_people(read(wholetext=True).select(path, F.col("value").alias("text")), keep=["path"])
+    expected = {(r["path"], r["part"], r["markdown"]) for r in whole.collect()}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for most in ("7", size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            lines = read(lineSep="\n").select(path, F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
+            found = [tuple(r) for r in files.people_in_lines(lines, h[2:]).select("path", "part", "markdown").collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert len(found) == len(expected) and set(found) == expected
+
+
 def test_a_record_is_parsed_once_for_all_its_fields(spark):
     df = spark.createDataFrame([(1, '{"name": "a", "skill_tags": ["x"], "age": 3}'), (2, '{"name": "b"}')], "id int, raw string")
     good, bad = storage.import_records(df, keep=["id"])
