@@ -263,6 +263,19 @@ def test_quality_edges_that_do_not_tell_are_not_used(spark):
     assert learned_edges(df.where("good"), df["lang"], df["good"])["en"] == [None] * 4
 
 
+def test_quality_learns_from_all_labels_in_one_pass(spark, monkeypatch):
+    from dossier.llm import quality
+
+    n, seen, passes, plain = 6000, [], [], quality.map_texts
+    monkeypatch.setattr(quality, "learned_edges", lambda rows, language, good: seen.append((rows.count(), rows.where(good).count())) or {})
+    monkeypatch.setattr(quality, "map_texts", lambda *a: passes.append(1) or plain(*a))
+    docs = spark.range(n).selectExpr("id doc_id", "'en' lang", "concat('word', id) text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 > 0) quality")
+    labels = labels.unionByName(labels).unionByName(spark.createDataFrame([(0, 1), (1, None), (None, 1)], "doc_id long, quality int"))
+    assert quality.quality(docs, labels=labels).count() == n
+    assert seen == [(n - 1, n * 2 // 3)] and len(passes) == 1  # before: about 5,000, and a pass of its own
+
+
 def test_mixing_keeps_within_a_block(spark, docs):
     got = QUERIES["op10_mixing"](spark, DATA).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(docs)
