@@ -2,7 +2,8 @@
 
 A text is cut where no token can cross: before each run of white space. Each
 distinct piece then goes to the library once, and the ids of a text are the
-joined ids of its pieces. `tests/llm/test_encoders.py` holds this against the
+joined ids of its pieces. Sentencepiece is as fast on whole texts where many
+words are new, so it gets whole texts unless they are long. `tests/llm/test_encoders.py` holds this against the
 libraries on whole texts.
 """
 
@@ -19,6 +20,9 @@ import numpy as np
 #: Bytes of remembered pieces, by their lengths and what each takes besides, in one generation.
 REMEMBERED, EACH = 32_000_000, 120
 
+#: Characters of a text that sentencepiece gets whole, at most: it holds some hundred bytes for each.
+WHOLE = 100_000
+
 #: The mark that stands for a space in sentencepiece vocabularies (fixed value).
 SPACE = "▁"
 
@@ -77,6 +81,8 @@ SIGNS = _signs()
 
 def as_signs(word: str) -> str:
     """A word's UTF-8 bytes as the signs that stand for them."""
+    if word.isascii() and word.lstrip(" ").isalpha():
+        return word.replace(" ", SIGNS[32])
     return word.encode().decode("latin-1").translate(SIGNS)
 
 
@@ -108,6 +114,7 @@ class Encoder:
             ids = lambda piece: model.encode(piece[1:]) if piece != SPACE else alone
             size = model.get_piece_size()
             self.is_byte = np.array([model.is_byte(i) for i in range(size)])
+            self.whole = lambda text: little(model.encode(text))
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -134,7 +141,7 @@ class Encoder:
                     return [t.id for t in merge(as_signs(piece))]
                 return whole(piece)
 
-            self.split, self.ready = split, lambda text: text
+            self.split, self.ready, self.whole = split, lambda text: text, None
             size = model.get_vocab_size(with_added_tokens=True)
             self.is_byte = np.zeros(size, dtype=bool)
         if size > 65_536:
@@ -143,8 +150,11 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        known = self.ids.__getitem__
-        return [b"".join(map(known, self.split(self.ready(t)))) if t else b"" for t in texts]
+        known, whole = self.ids.__getitem__, self.whole
+        return [
+            b"" if not t else whole(t) if whole and len(t) <= WHOLE else b"".join(map(known, self.split(self.ready(t))))
+            for t in texts
+        ]
 
 
 #: What a Python worker keeps from task to task, idle ones too: one thing at a time.

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from dossier.llm.encoders import EACH, Encoder, Memory, vocabulary
+from dossier.llm.encoders import EACH, SIGNS, Encoder, Memory, as_signs, vocabulary
 from dossier.llm.tokencount import MergeCounter
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"]
@@ -55,3 +55,17 @@ def test_memory_stays_within_its_bound():
     assert made.count("0") == 1  # asked for all the time, so never forgotten
     long = Memory(lambda k: k.encode(), 300 * EACH)
     assert long["y" * 10_000] == b"y" * 10_000 and not long
+
+
+def test_sentencepiece_gets_whole_texts_unless_they_are_long(monkeypatch):
+    texts, ids = hostile(300), library(FILES[2])
+    for most in (0, 20, 1_000_000):
+        monkeypatch.setattr("dossier.llm.encoders.WHOLE", most)
+        encode = Encoder(vocabulary(FILES[2]))
+        assert [np.frombuffer(raw, "<u2").tolist() for raw in encode(texts)] == [ids(t) for t in texts]
+        assert bool(encode.ids) == (most < 150_000)  # before: every word was remembered
+
+
+def test_signs_of_plain_words_are_those_of_their_bytes():
+    for word in (" a", "Zz", "  b", " ", "", "a b", " é", "x.", "\na"):
+        assert as_signs(word) == word.encode().decode("latin-1").translate(SIGNS)
