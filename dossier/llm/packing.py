@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,7 @@ LOCAL_ITEMS = 100_000
 #: Tasks whose underfull bins meet in one task of the next round. Rounds of as many
 #: tasks as before end once one joins less than this share of its bins.
 MERGED, GAIN = 16, 0.01
-#: Slots of a mixture that are packed together.
+#: Slots of a mixture that are packed together at first.
 RANGE_SLOTS = 64
 
 PIECES = T.StructType(
@@ -101,8 +101,8 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int
     return rows.mapInArrow(run, schema)
 
 
-def pack_items(items: DataFrame, capacity: int, nearly: int = 8, local_items: int = LOCAL_ITEMS) -> DataFrame:
-    """Items (uid, size) into bins: uid, bin (the uid of one of its items), offset.
+def pack_items(items: DataFrame, capacity: int, nearly: int = 8, local_items: int = LOCAL_ITEMS, place: Column | None = None) -> DataFrame:
+    """Items (uid, size) into bins: uid, bin (the least uid of its items, which comes first), offset.
 
     Rounds: tasks pack their items best-fit. A bin with at most ``nearly`` free
     places, or too full for the smallest bin anywhere, stays as it is. All
@@ -110,6 +110,9 @@ def pack_items(items: DataFrame, capacity: int, nearly: int = 8, local_items: in
     one task, until one task is left. No task gets more than about
     ``local_items``: where so many bins stay underfull that tasks can't become
     fewer, they are dealt out anew, as long as that joins some.
+
+    Items are dealt by a hash, or with ``place`` (from 0 to under 1, a function
+    of uid) to tasks of neighbours, unless dealt anew.
     """
     result = T.StructType(
         [
@@ -125,6 +128,7 @@ def pack_items(items: DataFrame, capacity: int, nearly: int = 8, local_items: in
         uids, sizes = group["uid"].tolist(), group["size"].tolist()
         out = []
         for members in best_fit(sizes, capacity):
+            members.sort()
             fill, at = sum(sizes[i] for i in members), 0
             for i in members:
                 out.append((uids[i], uids[members[0]], at, fill))
@@ -133,10 +137,12 @@ def pack_items(items: DataFrame, capacity: int, nearly: int = 8, local_items: in
 
     count = items.count()
     tasks = max(1, min(input_partitions(items), math.ceil(count / 64)), math.ceil(count / local_items))
-    level, levels = items.select("uid", "size"), []
+    level, levels, anew = items.select("uid", "size"), [], False
     while True:
-        dealt = F.pmod(F.xxhash64("uid", F.lit(len(levels))), F.lit(tasks)).alias("task")
-        packed = written(level.select("uid", "size", dealt).groupBy("task").applyInPandas(pack, result), "packed")
+        dealt = F.pmod(F.xxhash64("uid", F.lit(len(levels))), F.lit(tasks))
+        if place is not None and not anew:
+            dealt = F.floor(place * F.lit(tasks))
+        packed = written(level.select("uid", "size", dealt.alias("task")).groupBy("task").applyInPandas(pack, result), "packed")
         levels.append(packed)
         if tasks == 1:
             break
@@ -147,7 +153,7 @@ def pack_items(items: DataFrame, capacity: int, nearly: int = 8, local_items: in
         fewer = max(math.ceil(tasks / MERGED), math.ceil(left / local_items))
         if left < 2 or fewer >= tasks and left > (1 - GAIN) * count:
             break
-        tasks, count = fewer, left
+        tasks, count, anew = fewer, left, fewer >= tasks
     placed = levels[0].select("uid", "bin", "offset")
     for packed in levels[1:]:
         moved = packed.select(F.col("uid").alias("bin"), F.col("bin").alias("into"), F.col("offset").alias("by"))
@@ -191,6 +197,18 @@ def pack_sequences(
     )
 
 
+def handed_on(placed: DataFrame, capacity: int, nearly: int = 8) -> DataFrame:
+    """Rows placed in ``pack_mixture``'s ranges, their underfull sequences joined with those of neighbouring ranges."""
+    one = placed.where("offset = 0").select(F.col("sequence").alias("uid"), F.col("fill").alias("size"))
+    least, last = one.agg(F.min("size"), F.max(F.shiftright("uid", 32))).first()
+    open_ones = one.where((F.col("size") < capacity - nearly) & (F.col("size") + F.lit(least or capacity) <= capacity))
+    joined = pack_items(open_ones, capacity, nearly, place=F.shiftright("uid", 32) / F.lit((last or 0) + 1))
+    moved = joined.where("uid <> bin").select(F.col("uid").alias("sequence"), F.col("bin").alias("into"), F.col("offset").alias("by"))
+    return placed.join(moved, "sequence", "left").withColumns(
+        {"sequence": F.coalesce("into", "sequence"), "offset": F.col("offset") + F.coalesce("by", F.lit(0))}
+    )
+
+
 def pack_mixture(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -199,22 +217,28 @@ def pack_mixture(
     tokenizer_path: str | None = None,
     end_id: int = 2,
     capacity: int = 1024,
-    range_slots: int = RANGE_SLOTS,
+    range_slots: int | None = None,
 ) -> DataFrame:
     """``pack_sequences`` in the order of ``mix_sources``, with the same columns.
 
-    The mixture's slots are cut into ranges of ``range_slots``. Pieces of a
-    range's rows are packed best-fit with each other only, and sequence ids
-    rise from range to range, so all sequences up to a range's end hold exactly
-    the rows of the mixture up to there, at the target weights. In a range
-    sequences follow their first row. A range has a bounded number of rows, so
-    it is one bounded task; what it leaves underfull is about one sequence.
+    The mixture's slots are cut into ranges of RANGE_SLOTS. Pieces of a range's
+    rows are packed best-fit first, each range being one bounded task; sequences
+    follow their first row in it, and their ids rise from range to range. What
+    ranges leave underfull meets what their neighbours leave, round by round, as
+    in ``pack_items``, and takes the place of its first sequence. So sequences up
+    to a range's end hold all rows of the mixture up to there, and of later rows
+    those alone that fill what ranges left.
+
+    With ``range_slots`` ranges are that wide and nothing is handed on: sequences
+    up to a range's end hold exactly the rows up to there, and each range leaves
+    about one sequence underfull.
     """
     path = tokenizer_path or vocabulary("byte_bpe_50k.json")
     pieces = written(cut_pieces(df, id_col, text_col, path, end_id, capacity, [source_col]), "pieces")
     first = pieces.where("piece = 0").select("doc_id", source_col, "uid", "length", "pieces")
     mixed = mix_sources(first, id_col="doc_id", source_col=source_col, keep=["uid", "length", "pieces"])
-    result = "first_uid long, sequence long, offset long, after long"
+    result = "first_uid long, sequence long, offset long, after long, fill long"
+    width = range_slots or RANGE_SLOTS
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["slot", "place"])
@@ -222,21 +246,23 @@ def pack_mixture(
         # A bin is one sequence; the full pieces of a long text are one each.
         bins = best_fit(sizes, capacity)
         units = [(min(b), 0, 1, b) for b in bins] + [(i, 1, n - 1, [i]) for i, n in enumerate(counts) if n > 1]
-        sequence, offset, after = [0] * len(uids), [0] * len(uids), [0] * len(uids)
+        sequence, offset, after, fill = ([0] * len(uids) for _ in range(4))
         number = int(key[0]) << 32
         for _, full, n, members in sorted(units):
-            at = 0
+            at, whole = 0, sum(sizes[i] for i in members)
             for i in members:
                 if full:
                     after[i] = number
                 else:
-                    sequence[i], offset[i] = number, at
+                    sequence[i], offset[i], fill[i] = number, at, whole
                     at += sizes[i]
             number += n
-        return pd.DataFrame({"first_uid": uids, "sequence": sequence, "offset": offset, "after": after})
+        return pd.DataFrame({"first_uid": uids, "sequence": sequence, "offset": offset, "after": after, "fill": fill})
 
-    ranges = mixed.select("uid", "length", "pieces", "slot", "place", F.floor(F.col("slot") / F.lit(range_slots)).alias("range"))
+    ranges = mixed.select("uid", "length", "pieces", "slot", "place", F.floor(F.col("slot") / F.lit(width)).alias("range"))
     placed = ranges.groupBy("range").applyInPandas(pack, result)
+    if not range_slots:
+        placed = handed_on(written(placed, "ranges"), capacity)
     own = F.col("piece") == 0
     return pieces.withColumn("first_uid", F.col("uid") - F.col("piece")).join(placed, "first_uid").select(
         F.col("doc_id").alias(id_col),

@@ -53,6 +53,33 @@ def test_sequences_keep_the_mixture(spark):
     assert ends > 2
 
 
+def test_what_ranges_leave_underfull_is_handed_on(spark):
+    from collections import defaultdict
+
+    from dossier.llm.mixing import mix_sources
+    from dossier.llm.packing import RANGE_SLOTS, pack_mixture
+
+    rows = [(k, f"word{k} " * (1 + k % 37) + "long text " * (1500 * (k % 999 == 3)), "abc"[min(2, k % 7)]) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ranges = {r["doc_id"]: r["slot"] // RANGE_SLOTS for r in mix_sources(df).collect()}
+    assert len(set(ranges.values())) > 4
+    sizes, held = [], defaultdict(list)
+    for packed in (pack_mixture(df, range_slots=RANGE_SLOTS).collect(), corpus_pipeline.pack(spark, df, "").collect()):
+        held.clear()
+        for r in packed:
+            held[r["sequence_id"]].append(r)
+        sizes.append(len(held))
+    assert len(packed) == len({(r["doc_id"], r["piece"]) for r in packed}) and {r["doc_id"] for r in packed} == set(ranges)
+    least = -(-sum(r["length"] for r in packed) // 1024)
+    assert least <= sizes[1] <= least + 1 < sizes[0]  # before: a sequence more for each range
+    for sequence, members in held.items():
+        at = 0
+        for r in sorted(members, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024 and sequence >> 32 == min(ranges[r["doc_id"]] for r in members)
+
+
 def test_one_row_of_each_group_stays(spark):
     near = " ".join(f"w{k}" for k in range(60))
     rows = [(1, "a b c"), (1, "a b c"), (1, "d e f"), (2, "a b c"), (3, near), (3, near + " end"), (4, near), (5, "d e f"), (6, "x y z"), (None, "x y z")]
