@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .shared import spread_by
 
 #: A mark of a place, or the link of a page's image (fixed pattern).
 MARK = r'(?d)<span id="([^"]+)"></span>|!\[.*?\]\(([^)]*?_page_(\d+)_Figure_\d+\.jpeg)\)'
@@ -35,7 +36,7 @@ def ordered_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     group = lambda k: F.regexp_extract_all(text, F.lit(MARK), F.lit(k))
-    found = df.select(F.col(id_col), group(1).alias("_span"), group(2).alias("_image"), F.split(text, MARK).alias("_texts")).where(F.size("_span") > 0)
+    found = spread_by(df.select(id_col, text_col), id_col).select(F.col(id_col), group(1).alias("_span"), group(2).alias("_image"), F.split(text, MARK).alias("_texts")).where(F.size("_span") > 0)
     marks = found.select(
         id_col, "_texts", F.posexplode(F.arrays_zip(F.array_insert("_span", 1, F.lit("")).alias("span"), F.array_insert("_image", 1, F.lit("")).alias("image"))).alias("pos", "m")
     ).select(id_col, "pos", "m.span", "m.image", F.get("_texts", F.col("pos")).alias("text"))
@@ -64,7 +65,7 @@ def heading_chunks(paragraphs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     are joined by blank lines.
     """
     text = strip(F.coalesce(F.col("text"), F.lit("")))
-    rows = paragraphs.select(id_col, "pos", F.coalesce("style", F.lit("")).alias("style"), text.alias("text"), F.coalesce("image", F.lit("")).alias("image"))
+    rows = spread_by(paragraphs, id_col).select(id_col, "pos", F.coalesce("style", F.lit("")).alias("style"), text.alias("text"), F.coalesce("image", F.lit("")).alias("image"))
     level = F.regexp_extract("style", r"^Heading (\d+)", 1)
     heads = (level != "") & (F.col("text") != "")
     title = F.when(heads, F.concat(F.lit("h"), level, F.lit("_"), "text"))

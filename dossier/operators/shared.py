@@ -19,3 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out to as many tasks as the session's shuffles have: a small file, read by one, may hold a lot of work."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` to as many tasks as the session's shuffles have, whatever their size.
+
+    For steps that sort many short rows: by their compressed size alone, Spark
+    would put so many into one task that it sorts gigabytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import labels, schemas
 from ..functions import text
 from ..functions.text import score_band, score_label
-from ..operators import changes, chunks, matching, records, relational, storage, stored
+from ..operators import changes, chunks, matching, records, relational, shared, storage, stored
 from ..sources import files as readers
 from ..streaming import ingest
 from . import rendering, tables
@@ -555,7 +555,8 @@ _LINES = """lines AS (SELECT l_orderkey AS doc_id, l_returnflag, l_linestatus,
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
-    return tables.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_returnflag", "l_linestatus", F.row_number().over(order).alias("n"))
+    lines = shared.spread_by(tables.load(spark, d, "lineitem"), "l_orderkey")
+    return lines.select(F.col("l_orderkey").alias("doc_id"), "l_returnflag", "l_linestatus", F.row_number().over(order).alias("n"))
 
 
 @_query(

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from dossier.functions import text
-from dossier.operators import changes, published, records, storage
+from dossier.operators import changes, chunks, published, records, storage
 from dossier.sources import files
 
 
@@ -100,3 +100,11 @@ def test_children_are_read_of_nameless_texts_alone(spark):
     report, changed = changes.repair(old, [])
     assert {r["id"]: r["status"] for r in report.collect()} == {0: "repaired", 1: "skip", 2: "error"}
     assert [(r["id"], r["name"], len(r["work"])) for r in changed.collect()] == [(0, "Ann", 1)]
+
+
+def test_chunks_are_dealt_to_as_many_tasks_as_shuffles_have(spark):
+    shared = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = spark.range(40).selectExpr("id doc_id", "concat('h <span id=\"page1\"></span> x', id) text")
+    rows = spark.range(40).selectExpr("id % 9 doc_id", "id pos", "'Heading 1' style", "concat('t', id) text", "string(null) image")
+    for found, n in ((chunks.ordered_chunks(texts), 80), (chunks.heading_chunks(rows), 40)):
+        assert found.rdd.getNumPartitions() == shared and found.count() == n  # before: one task, as the rows are few
