@@ -117,13 +117,16 @@ def score_missing(requests: DataFrame, function: Callable[[pd.Series], pd.Series
     out, so a second run after a stop asks only for what is missing, failed
     requests and bad replies included. Pairs are dealt to ``slices`` by a hash;
     each slice is asked, stored and published before the next one begins, so
-    at most one is asked again after a stop. Returns all scores of the requests
+    at most one is asked again after a stop. A slice is dealt evenly to ``tasks``,
+    or to as many as the session's shuffles have: its files are small, and few
+    tasks would read them. Returns all scores of the requests
     and the rejects of this run, each with the stage that failed (``request``
     or ``reply``) and the reason.
     """
     spark, keys, run = requests.sparkSession, ["candidate_id", "job_id"], uuid.uuid4().hex
     missing = requests.join(stored_scores(spark, path).select(*keys), keys, "left_anti").withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int"))
     folder = f"{path}/asked/{run}"
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     missing.write.partitionBy("_slice").parquet(folder)
     asked = spark.read.schema(missing.schema).parquet(folder)
     mine = set()

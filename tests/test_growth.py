@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from pathlib import Path
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from dossier.functions import text
-from dossier.operators import changes, chunks, published, records, storage
+from dossier.operators import changes, chunks, matching, published, records, storage
 from dossier.sources import files
 
 
@@ -108,3 +109,13 @@ def test_chunks_are_dealt_to_as_many_tasks_as_shuffles_have(spark):
     rows = spark.range(40).selectExpr("id % 9 doc_id", "id pos", "'Heading 1' style", "concat('t', id) text", "string(null) image")
     for found, n in ((chunks.ordered_chunks(texts), 80), (chunks.heading_chunks(rows), 40)):
         assert found.rdd.getNumPartitions() == shared and found.count() == n  # before: one task, as the rows are few
+
+
+def test_requests_are_asked_by_many_tasks(spark, tmp_path):
+    asked = spark.range(400).select(F.col("id").alias("candidate_id"), F.lit(0).cast("long").alias("job_id"), F.lit("r").alias("request")).coalesce(1)
+
+    def model(requests):
+        return ['{"overall_score": %d}' % TaskContext.get().partitionId()] * len(requests)
+
+    scores, _ = matching.score_missing(asked, model, str(tmp_path / "scores"), slices=1)
+    assert {r["overall_score"] for r in scores.collect()} == set(range(int(spark.conf.get("spark.sql.shuffle.partitions"))))  # before: one task
