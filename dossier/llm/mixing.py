@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +150,32 @@ def mix_sources(
     )
 
 
+#: Said of a column whose rows are in the order of a mixture.
+IN_ORDER = "in the order of the mixture"
+
+
+def in_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``mixed``, rows sorted as the mixture, with that said in the metadata of ``id_col``; Parquet files keep it."""
+    return mixed.withMetadata(id_col, mixed.schema[id_col].metadata | {IN_ORDER: True})
+
+
+def file_places(df: DataFrame, id_col: str = "doc_id") -> DataFrame | None:
+    """``df`` with _file and _row, where each row of a mixture lies in its files; None unless it is read from such files.
+
+    A writer numbers its files by partition, and one that cuts a partition's
+    file in several numbers those.
+    """
+    if not df.schema[id_col].metadata.get(IN_ORDER):
+        return None
+    name = F.col("_metadata.file_name")
+    part, cut = F.regexp_extract(name, r"^part-(\d+)", 1), F.regexp_extract(name, r"-c(\d+)\.", 1)
+    number = F.coalesce(part.try_cast("long"), F.lit(0)) * F.lit(1 << 20) + F.coalesce(cut.try_cast("long"), F.lit(0))
+    try:
+        return df.select("*", number.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # rows that have been joined or grouped since
+        return None
+
+
 def mixed_order(df: DataFrame, mixed: DataFrame) -> DataFrame:
     """Rows of ``mix_sources`` sorted as the mixture, with the columns of ``df`` only."""
     return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*df.columns)

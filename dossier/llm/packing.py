@@ -10,13 +10,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import slices
 from .encoders import encoder, vocabulary
-from .mixing import mix_sources
+from .mixing import file_places, mix_sources
 from .store import input_partitions, written
 
 #: Items that one task packs at once, at most about.
@@ -209,6 +209,16 @@ def handed_on(placed: DataFrame, capacity: int, nearly: int = 8) -> DataFrame:
     )
 
 
+def _as_filed(first: DataFrame, block_rows: int = 16) -> DataFrame:
+    """Slot and place of documents (_file, _row) of a mixture: files by number, rows as they lie in them."""
+    files = first.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    # A row for each file.
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.col("_before") + F.col("_row")
+    found = first.join(F.broadcast(files.select("_file", before.alias("_before"))), "_file")
+    return found.select("uid", "length", "pieces", F.floor(at / F.lit(block_rows)).alias("slot"), F.pmod(at, F.lit(block_rows)).alias("place"))
+
+
 def pack_mixture(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -221,6 +231,9 @@ def pack_mixture(
 ) -> DataFrame:
     """``pack_sequences`` in the order of ``mix_sources``, with the same columns.
 
+    Rows read from files that are in the order of a mixture (``mixing.in_order``)
+    keep it: 16 of them, a block, are a slot. Others are mixed here.
+
     The mixture's slots are cut into ranges of RANGE_SLOTS. Pieces of a range's
     rows are packed best-fit first, each range being one bounded task; sequences
     follow their first row in it, and their ids rise from range to range. What
@@ -234,9 +247,11 @@ def pack_mixture(
     about one sequence underfull.
     """
     path = tokenizer_path or vocabulary("byte_bpe_50k.json")
-    pieces = written(cut_pieces(df, id_col, text_col, path, end_id, capacity, [source_col]), "pieces")
-    first = pieces.where("piece = 0").select("doc_id", source_col, "uid", "length", "pieces")
-    mixed = mix_sources(first, id_col="doc_id", source_col=source_col, keep=["uid", "length", "pieces"])
+    placed = file_places(df, id_col)
+    keep = [source_col] if placed is None else ["_file", "_row"]
+    pieces = written(cut_pieces(df if placed is None else placed, id_col, text_col, path, end_id, capacity, keep), "pieces")
+    first = pieces.where("piece = 0").select("doc_id", *keep, "uid", "length", "pieces")
+    mixed = mix_sources(first, id_col="doc_id", source_col=source_col, keep=["uid", "length", "pieces"]) if placed is None else _as_filed(first)
     result = "first_uid long, sequence long, offset long, after long, fill long"
     width = range_slots or RANGE_SLOTS
 

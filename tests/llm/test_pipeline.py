@@ -94,3 +94,31 @@ def test_results_of_a_stage_outlast_the_next_call(spark):
         assert one.count() == two.count() > 0
     one, two = (corpus_pipeline.keep_one_of_each_group(spark, docs, "") for _ in range(2))
     assert one.count() == two.count() > 0
+
+
+def test_the_order_of_the_mixing_stage_reaches_the_sequences(spark, tmp_path, monkeypatch):
+    from collections import defaultdict
+
+    from dossier.llm import packing
+    from dossier.llm.mixing import mix_sources
+
+    rows = [(k, f"word{k} " * (1 + k % 300), "abc"[min(2, k % 7)]) for k in range(5000)] + [(None, "x", None), (7, "again", "a"), (7, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = {r["doc_id"]: (r["slot"], r["place"]) for r in mix_sources(df).collect()}
+    # Files of a few rows each, small ones read by the same task.
+    corpus_pipeline.mix(spark, df, "").write.option("maxRecordsPerFile", 700).parquet(str(tmp_path / "mixed"))
+    docs = spark.read.parquet(str(tmp_path / "mixed"))
+    assert docs.columns == df.columns and docs.count() == len(rows)
+    mixed_again = []
+    monkeypatch.setattr(packing, "mix_sources", lambda *a, **b: mixed_again.append(1) or mix_sources(*a, **b))
+    packed = packing.pack_mixture(docs, range_slots=2).collect()
+    assert not mixed_again  # before: the stage's order was dropped, and found again here
+    held = defaultdict(list)
+    for r in packed:
+        if r["doc_id"] not in (None, 7):
+            held[r["sequence_id"] >> 32].append(order[r["doc_id"]])
+    assert len(held) > 50 and {r["doc_id"] for r in packed} == set(order)
+    places = [(min(held[k]), max(held[k])) for k in sorted(held)]
+    assert all(one[1] < two[0] for one, two in zip(places, places[1:], strict=False))
+    # What doesn't come straight from the files is mixed here.
+    assert packing.pack_mixture(docs.groupBy("doc_id", "source").agg({"text": "max"}).withColumnRenamed("max(text)", "text")).count() and mixed_again
