@@ -91,3 +91,11 @@ def test_schools_are_the_last_rows_of_work(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, markdown string")
     found = {r["id"]: [(x["seq"], x["school"]) for x in r["education"]] for r in records.parse_records(df, keep=["id"]).collect()}
     assert found == {0: [(1, "S1")], 1: [(1, "S1")], 2: [(1, "S1")], 3: [(1, "S1")], 4: [], 5: [(2, "after")]}
+
+
+def test_batches_are_read_from_documents_rendered_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(storage, "batch_import", lambda rows, *a, **b: seen.append(rows))
+    catalog.QUERIES["published_batches"](spark, "/root/testdata/sf0.001")
+    plans = [rows._jdf.queryExecution().optimizedPlan().toString() for rows in seen]
+    assert len(plans) == 3 and not any("l_orderkey" in p for p in plans)  # before: all tables were joined for each batch
